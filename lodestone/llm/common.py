@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Rows of an Arrow batch that goes to a Python worker. Long documents make wide rows, so batches stay small.
 BATCH_ROWS = 256
@@ -38,3 +39,8 @@ def pinned(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: later reads see the same rows and partitions after any loss."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def extended(df: DataFrame, **more: str) -> StructType:
+    """The schema of ``df`` with further fields, given as name and type."""
+    return StructType([*df.schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in more.items())])

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, sharding
-from .common import prepare, table
+from . import bpe, langid, licenses, packing, quality, rules, sharding, simhash, topk, warc
+from .common import prepare, shared_folder, table
+
+
+def op1_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return topk.top_k(e.where("vec_id % 50 = 0"), e, k=5)
+
+
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, min_payload=0)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
 
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +29,12 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = quality.train(docs, quality.learn_rows(table(spark, sf_dir, "labels")))
+    return quality.score(docs, w).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     d = rules.apply_policy(rules.apply_policy(d, rules.Policy("v1")), rules.Policy("base"), "base_ok")
@@ -26,8 +44,37 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def packing_files() -> tuple[str, str, str]:
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op9_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), packing_files(), capacity=1024, end_id=2), capacity=1024)
+
+
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_shards, op5_rule_ledger)}
+    found = (op1_threshold_topk, op2_warc_bundles, op3_byte_shards, op4_ftrl_quality, op5_rule_ledger, op6_simhash_groups, op7_license_diagonals, op8_segment_tree_bpe, op9_complement_packing, op10_language_mixture)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
