@@ -33,7 +33,7 @@ def test_agrees_with_brute_force(spark, monkeypatch, block):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(6)]) for i in range(120)]
     rows += [(200 + i, rows[7][1]) for i in range(20)]  # one common vector, ties by id
-    rows += [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (302, [math.nan] * 6), (303, [math.inf] * 6), (None, [0.5] * 6), (304, [0.0] * 6), (305, [1.0, 2.0])]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [math.nan] * 6), (303, [math.inf] * 6), (None, [0.5] * 6), (304, [0.0] * 6), (305, [1.0, 2.0])]
     rows += [(50, [0.9] * 6), (50, [0.9] * 6), rows[3]]  # repeated ids
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3)
     got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 50 = 0 OR vec_id > 300"), df, 5).collect())
