@@ -1 +1,3 @@
+"""Named queries over the given tables. Importing this package registers them all."""
 
+from . import cleaning  # noqa: F401

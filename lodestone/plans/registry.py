@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name; ``sql`` is the same in ANSI SQL over the tables."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     return SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label rate, coverage and mean people per year and split over the cleaned wide table."""
+    return QUERIES["cln_flagship"](spark, sf_dir)
