@@ -65,10 +65,10 @@ def oof_encode(labelled: DataFrame, edges: DataFrame, key: str, entity: str, lab
     """
     mean = labelled.agg(F.avg(F.col(label).cast("double")).alias("gm"))
     e = edges.select(key, entity).distinct().join(labelled.select(key, F.col(label).cast("long").alias("_y"), fold), key)
-    by_fold = e.groupBy(entity, fold).agg(F.sum("_y").alias("sf"), F.count("*").alias("cf"))
-    total = by_fold.groupBy(entity).agg(F.sum("sf").alias("s"), F.sum("cf").alias("c"))
+    by_fold = e.groupBy(entity, fold).agg(F.sum("_y").alias("_sf"), F.count("*").alias("_cf"))
+    total = by_fold.groupBy(entity).agg(F.sum("_sf").alias("_s"), F.sum("_cf").alias("_c"))
     rates = by_fold.join(total, entity).crossJoin(F.broadcast(mean))
-    rates = rates.select(entity, fold, ((F.col("s") - F.col("sf") + smoothing * F.col("gm")) / (F.col("c") - F.col("cf") + smoothing)).alias("rate"))
+    rates = rates.select(entity, fold, ((F.col("_s") - F.col("_sf") + smoothing * F.col("gm")) / (F.col("_c") - F.col("_cf") + smoothing)).alias("rate"))
     per_key = e.select(key, entity, fold).join(rates, [entity, fold]).groupBy(key).agg(F.avg("rate").alias("rate"))
     return labelled.select(key).join(per_key, key, "left").crossJoin(F.broadcast(mean)).select(key, F.round(F.coalesce("rate", "gm"), 6).alias("encoded"))
 
@@ -77,8 +77,8 @@ def fit_rates(labelled: DataFrame, edges: DataFrame, key: str, entity: str, labe
     """The lookup for unseen rows: each entity's smoothed rate over all training rows, with the global mean."""
     mean = labelled.agg(F.avg(F.col(label).cast("double")).alias("gm"))
     e = edges.select(key, entity).distinct().join(labelled.select(key, F.col(label).cast("long").alias("_y")), key)
-    s = e.groupBy(entity).agg(F.sum("_y").alias("s"), F.count("*").alias("c"))
-    return s.crossJoin(F.broadcast(mean)).select(entity, ((F.col("s") + smoothing * F.col("gm")) / (F.col("c") + smoothing)).alias("rate"))
+    s = e.groupBy(entity).agg(F.sum("_y").alias("_s"), F.count("*").alias("_c"))
+    return s.crossJoin(F.broadcast(mean)).select(entity, ((F.col("_s") + smoothing * F.col("gm")) / (F.col("_c") + smoothing)).alias("rate"))
 
 
 def apply_rates(keys: DataFrame, edges: DataFrame, rates: DataFrame, mean: DataFrame, key: str, entity: str) -> DataFrame:

@@ -112,7 +112,7 @@ def cap(df: DataFrame, column: str, upper: float) -> DataFrame:
 
 def success_rate(edges: DataFrame, labels: DataFrame, key: str, entity: str, label: str) -> DataFrame:
     """Per entity the mean label over its edges and the number of distinct keys."""
-    return edges.join(labels.select(key, label), key).groupBy(entity).agg(F.round(F.avg(F.col(label).cast("double")), 6).alias("rate"), F.count_distinct(key).alias("n_keys"))
+    return edges.join(labels.select(key, label), key).groupBy(entity).agg(F.avg(F.col(label).cast("double")).alias("rate"), F.count_distinct(key).alias("n_keys"))
 
 
 def domain_bounds(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:

@@ -192,5 +192,6 @@ def shift_table(df: DataFrame, column: str, imputed: Column, groups: Sequence[st
     r = two_sample(df, column, imputed, groups)
     if groups:
         r = r.where("n0 >= 5 AND n1 >= 2")
-    p = kolmogorov(F.col("ks"), F.col("n1"), F.col("n0"))
+    r = r.withColumn("p", kolmogorov(F.col("ks"), F.col("n1"), F.col("n0")))  # before ks is rounded under its own name
+    p = F.col("p")
     return r.select(*groups, F.col("n0").alias("n_observed"), F.col("n1").alias("n_imputed"), F.round("ks", 6).alias("ks"), F.round("w1", 4).alias("w1"), F.round(p, 6).alias("p_value"), F.when(p >= 0.05, "plausible").otherwise("suspicious").alias("status"))

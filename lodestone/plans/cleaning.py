@@ -209,7 +209,7 @@ def fix_iqr_cap(spark: SparkSession, d: str) -> DataFrame:
 @query(with_sql(MOVIES, DIRTY) + r"SELECT person, round(avg(CAST(y AS DOUBLE)), 6) AS rate, CAST(count(DISTINCT dirty.k) AS BIGINT) AS n_keys FROM dirty JOIN movies ON dirty.k = movies.k WHERE split = 'train' AND person <> '\N' GROUP BY person")
 def fix_success_rate(spark: SparkSession, d: str) -> DataFrame:
     e = t.dirty_people(spark, d).where(F.col("person") != r"\N")
-    return quality.success_rate(e, t.movies(spark, d).where("split = 'train'"), "k", "person", "y")
+    return quality.success_rate(e, t.movies(spark, d).where("split = 'train'"), "k", "person", "y").withColumn("rate", F.round("rate", 6))
 
 
 @query(f"SELECT doc_id, coalesce(nullif({norm_sql('a')}, ''), {norm_sql('lang')}) AS title FROM (SELECT doc_id, lang, CASE WHEN doc_id % 3 <> 0 THEN source END AS a FROM documents)")
