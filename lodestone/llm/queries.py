@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, packing, quality, rules, sharding, simhash, topk, warc
+from . import bpe, langid, licenses, oracle, packing, quality, rules, sharding, simhash, topk, warc
 from .common import prepare, shared_folder, table
 
 
@@ -20,7 +20,7 @@ def op1_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path, min_payload=0)
-    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
