@@ -21,7 +21,7 @@ RULES: dict[str, tuple[int, str]] = {
     "few_words": (0, "n_words < 20"),
     "repeated_windows": (1, "100 * n_repeat_words > 30 * n_words"),
     "symbol_share": (2, "10 * n_symbols > n_words"),
-    "duplicate_lines": (3, "10 * n_dup_lines > 3 * n_lines"),
+    "duplicate_lines": (3, "n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines"),
     "short_words": (4, "n_words > 0 AND word_chars < 2 * n_words"),
     "long_words": (5, "word_chars > 15 * n_words"),
 }
