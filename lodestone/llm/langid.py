@@ -40,6 +40,13 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def damped(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text, each with 1 + ln of its count, so that a phrase repeated without end says little more."""
+    count = np.bincount(grams(raw), minlength=1 << BITS)
+    at = np.flatnonzero(count)
+    return at, 1.0 + np.log(count[at])
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Smoothed n-gram likelihoods of every non-null language, from ``rows`` documents of each at most.
 
@@ -59,21 +66,22 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_
         for b in batches:
             raw, at = text_bytes(b.column(1))
             for i, lang in enumerate(b.column(0).to_pylist()):
-                counts.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
-                counts[lang] += np.bincount(grams(raw[at[i] : at[i + 1]]), minlength=1 << BITS)
+                counts.setdefault(lang, np.zeros(1 << BITS))
+                seen, n = damped(raw[at[i] : at[i + 1]])
+                counts[lang][seen] += n
         for lang, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.astype("<i8").tobytes()], pa.binary())], ["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.astype("<f8").tobytes()], pa.binary())], ["lang", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[lang] = sums.get(lang, 0) + np.frombuffer(c, "<i8")
+                sums[lang] = sums.get(lang, 0) + np.frombuffer(c, "<f8")
         for lang, c in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.tobytes()], pa.binary())], ["lang", "counts"])
 
     parts = sample.select("_l", "_t").mapInArrow(count, "lang string, counts binary")
-    found = {r["lang"]: np.frombuffer(r["counts"], "<i8") for r in parts.repartition("lang").mapInArrow(add, "lang string, counts binary").collect()}
+    found = {r["lang"]: np.frombuffer(r["counts"], "<f8") for r in parts.repartition("lang").mapInArrow(add, "lang string, counts binary").collect()}
     langs = sorted(found)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)))
@@ -95,9 +103,8 @@ def infer(text: np.ndarray, model: Model) -> tuple[int, float]:
     All languages are fitted together first. Then sets of the 1, 2, … largest are compared: a further language stays
     only if it raises the log-likelihood by more than the penalty.
     """
-    hashed = np.bincount(grams(text), minlength=1 << BITS)
-    at = np.flatnonzero(hashed)
-    count, like = hashed[at].astype(np.float64), model.likelihood[at]
+    at, count = damped(text)
+    like = model.likelihood[at]
     k = like.shape[1]
     share, _ = proportions(count, like, np.full(k, 1.0 / k))
     order = np.argsort(-share, kind="stable")
