@@ -10,6 +10,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Rows of an Arrow batch that goes to a Python worker. Long documents make wide rows, so batches stay small.
 BATCH_ROWS = 256
+#: Bytes at which such a batch is closed before it has all its rows.
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     machine) a temporary one is made.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return spark

@@ -140,7 +140,7 @@ def top_k(
     candidates of another dimension than the query's. Of repeated ids the pair with the highest score counts, once.
     Scaled components beyond 32 bits raise an error. Empty tables give no rows; other columns are ignored.
     """
-    spark = prepare(queries.sparkSession)
+    prepare(queries.sparkSession)
     n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     cand = (
         _blocks(candidates, CANDIDATE_BLOCK, scale, id_col, vector_col)
@@ -181,7 +181,6 @@ def top_k(
         if at is not None:
             yield found()
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     cols = ["dim", "n", "width", "ids", "vectors", "q_dim", "q_n", "q_width", "q_ids", "q_vectors"]
     part = pairs.select(*cols).mapInArrow(search, "query_id long, vec_id long, score long")
     once = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
