@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cast, text
-from ..operators import clean, quality
+from ..operators import audit, clean, quality
 from ..operators.contracts import TableContract, violations
 from . import tables as t
 from .registry import query
@@ -258,3 +258,14 @@ def chk_outliers(spark: SparkSession, d: str) -> DataFrame:
     q = m.agg(F.percentile("votes", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     a, b = F.col("q")[0], F.col("q")[1]
     return m.crossJoin(F.broadcast(q)).agg(F.count_if((F.col("votes") > b + 0.3 * (b - a)) | (F.col("votes") < a - 0.3 * (b - a))).alias("n_outliers"), F.count("*").alias("n"))
+
+
+@query("""SELECT 'runtime' AS "column", 'missing' AS finding UNION ALL SELECT 'c_acctbal', 'unexpected'""")
+def dq_expected_columns(spark: SparkSession, d: str) -> DataFrame:
+    return quality.missing_columns(t.read(spark, d, "customer"), ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "runtime"))
+
+
+@query(r"""WITH v AS (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1), ch AS (SELECT value, x, count(*) AS m, length(value) AS len FROM (SELECT value, unnest(string_split(value, '')) AS x FROM v) GROUP BY ALL), h AS (SELECT value, -sum(m / CAST(len AS DOUBLE) * log2(m / CAST(len AS DOUBLE))) AS bits FROM ch GROUP BY value)
+SELECT v.value, CAST(n AS BIGINT) AS n, round(CAST(n AS DOUBLE) / (SELECT sum(n) FROM v), 6) AS share, round(bits, 6) AS bits FROM v JOIN h ON h.value = v.value WHERE length(v.value) <= 5 AND bits <= 2.3 AND n >= 50 AND CAST(n AS DOUBLE) / (SELECT sum(n) FROM v) >= 0.05""")
+def aud_entropy_variant(spark: SparkSession, d: str) -> DataFrame:
+    return audit.entropy_tokens(t.read(spark, d, "events"), "event_type", least_count=50, least_share=0.05, most_bits=2.3, longest=5)

@@ -38,7 +38,7 @@ def _catalog(spark: SparkSession, d: str) -> DataFrame:
     return enrich.load_catalog(raw_catalog(spark, d), "k", "name", {"gross": "money", "minutes": "leading", "year": "double"}, "tags", "source", {"r": "returned"})
 
 
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c = _catalog(spark, d)
     tokens = enrich.token_long(c, "k")
     agg = enrich.entity_aggregate(c, tokens, "k", "name", NUMBERS)
@@ -46,7 +46,7 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
-    _, tokens, agg, mid = _parts(spark, d)
+    _, tokens, agg, mid = parts(spark, d)
     return enrich.fill_cascade(entities(spark, d), enrich.row_centers(agg, tokens, mid, "k", NUMBERS), "k", FIELDS)
 
 
@@ -85,13 +85,13 @@ def enr_token_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_with(CAT, TOK, AGG) + "SELECT k, CAST(external_rows AS BIGINT) AS external_rows, n_sources, n_titles, round(year_direct, 4) AS year_direct, round(minutes_direct, 4) AS minutes_direct, round(gross_direct, 4) AS gross_direct, n_year, n_minutes, n_gross, n_tokens, labels, title_external, title_key_external FROM agg")
 def enr_entity_agg(spark: SparkSession, d: str) -> DataFrame:
-    a = _parts(spark, d)[2]
+    a = parts(spark, d)[2]
     return a.withColumns({f"{c}_direct": F.round(f"{c}_direct", 4) for c in NUMBERS})
 
 
 @query(_with(CAT, TOK, AGG, MID) + "SELECT token, n_entities, round(median_year, 4) AS median_year, round(median_minutes, 4) AS median_minutes, round(median_gross, 4) AS median_gross, round(iqr_year, 4) AS iqr_year, round(iqr_minutes, 4) AS iqr_minutes, round(iqr_gross, 6) AS iqr_gross FROM mid")
 def enr_centers(spark: SparkSession, d: str) -> DataFrame:
-    m = _parts(spark, d)[3]
+    m = parts(spark, d)[3]
     return m.select("token", "n_entities", *[F.round(c, 6 if c == "iqr_gross" else 4).alias(c) for c in m.columns[2:]])
 
 
@@ -100,7 +100,7 @@ f1 AS (SELECT e.k, count(DISTINCT x.k) AS c FROM e JOIN x ON e.t = x.t AND e.y =
 SELECT 'direct' AS strategy, CAST(count(hit) AS BIGINT) AS matched, CAST(0 AS BIGINT) AS ambiguous, round(100.0 * count(hit) / count(*), 4) AS coverage_pct, 'use' AS decision FROM e
 UNION ALL SELECT 'title_year', CAST(count(*) AS BIGINT), CAST(count(CASE WHEN c > 1 THEN 1 END) AS BIGINT), round(100.0 * count(*) / (SELECT n FROM n), 4), 'reject' FROM f1 UNION ALL SELECT 'title_year_minutes', CAST(count(*) AS BIGINT), CAST(count(CASE WHEN c > 1 THEN 1 END) AS BIGINT), round(100.0 * count(*) / (SELECT n FROM n), 4), 'reject' FROM f2""")
 def enr_join_strategies(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.join_strategies(entities(spark, d), _parts(spark, d)[2], "k", "title", "yr", "mins", "year_direct", "minutes_direct")
+    return enrich.join_strategies(entities(spark, d), parts(spark, d)[2], "k", "title", "yr", "mins", "year_direct", "minutes_direct")
 
 
 _F = _with(ENT, CAT, TOK, AGG, MID, FIL)
@@ -153,7 +153,7 @@ _CONF = {"entities": "count(*)", "catalog_rows": "sum(external_rows)", "many_sou
 
 @query(_with(CAT, TOK, AGG) + " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({v} AS BIGINT) AS value FROM agg" for k, v in _CONF.items()))
 def enr_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.conflicts(_parts(spark, d)[2], NUMBERS)
+    return enrich.conflicts(parts(spark, d)[2], NUMBERS)
 
 
 @query(_F + """, g AS (SELECT matched, 'decade' AS group_type, CAST(CAST(floor(yr / 10) * 10 AS INTEGER) AS VARCHAR) || 's' AS group_value FROM fil UNION ALL SELECT matched, 'kind', kind FROM fil), c AS (SELECT group_type, group_value, CAST(count(*) AS BIGINT) AS total, CAST(sum(matched) AS BIGINT) AS n_matched, round(100.0 * sum(matched) / count(*), 4) AS coverage_pct FROM g WHERE group_value IS NOT NULL GROUP BY 1, 2)

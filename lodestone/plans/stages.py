@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, features, impute, models, quality, report
+from ..operators import clean, enrich, features, impute, models, quality, report, stats
 from ..operators.contracts import TableContract
 from ..sources import files
 from . import enriching
@@ -60,7 +60,27 @@ def modelling(spark: SparkSession, source: str, out: str) -> None:
 
 
 def enrichment(spark: SparkSession, source: str, out: str) -> None:
+    """The filled entities, and the tables that tell how far the catalog can be trusted."""
     files.write_parquet(enriching.filled(spark, source), f"{out}/enriched")
+    filled = spark.read.parquet(f"{out}/enriched")
+    catalog, tokens, aggregate, middle = enriching.parts(spark, source)
+    pair = {"yr": "year", "mins": "minutes"}
+    artefacts = {
+        "file_profile": enrich.file_profile(catalog, "k", ("gross", "minutes", "year")),
+        "centers": middle,
+        "join_strategies": enrich.join_strategies(enriching.entities(spark, source), aggregate, "k", "title", "yr", "mins", "year_direct", "minutes_direct"),
+        "conflicts": enrich.conflicts(aggregate, enriching.NUMBERS),
+        "top_tokens": enrich.top_tokens(tokens, "k"),
+        "alignment": enrich.alignment(filled, enriching.FIELDS, {"yr": 2.0, "mins": 10.0, "votes": 0.9}, ("votes",)),
+        "recovery": enrich.recovery(filled, enriching.FIELDS),
+        "fill_candidates": enrich.fill_candidates(filled, "k", ("yr", "mins", "votes")),
+        "subgroup_coverage": enrich.subgroup_coverage(filled, "yr", "kind"),
+        "join_precision": enrich.join_precision(filled, pair, {"yr": 2.0, "mins": 15.0}),
+        "delta_impact": enrich.delta_impact(filled, {f: F.col(f"fill_{f}") for f in pair}, {"yr": 2.0, "mins": 10.0}),
+        "schema_profile": enrich.schema_profile(filled.select("k", "yr", "mins", "votes", "matched")),
+    }
+    for name, df in artefacts.items():
+        files.write_parquet(df, f"{out}/enrichment/{name}")
 
 
 def reporting(spark: SparkSession, source: str, out: str) -> report.Report:
@@ -69,6 +89,15 @@ def reporting(spark: SparkSession, source: str, out: str) -> report.Report:
     r.add_frame("clean", "coverage", quality.coverage(m, ("dir_avg_birth", "yr")))
     r.add_frame("clean", "fanout", quality.fanout(m, "k", "split"), "split")
     r.add_frame("clean", "label balance", quality.label_balance(m, "y"), "y")
+    r.add_frame("clean", "domain", quality.domain_bounds(m, {"yr": (1990, 2030), "votes_log1p": (0, 20)}))
+    raw = t.movies(spark, source)
+    r.add_frame("clean", "reconciliation", quality.reconciliation(raw, m, "split", {"yr": F.col("yr").isNull()}), "split")
+    r.add_frame("clean", "missing drift", quality.missing_drift(raw, ("yr",), "split"))
+    r.add_frame("clean", "imputation shift", stats.shift_table(m, "yr", F.col("yr_missing") == 1), "status")
+    r.add_frame("clean", "imputation shift by priority", stats.shift_table(m, "yr", F.col("yr_missing") == 1, ["priority"]), "priority")
+    r.add_frame("clean", "correlation shift", stats.correlation_shift(m.where("yr_missing = 0"), m, ("yr", "votes_log1p")), "none")
+    for s in t.SPLITS[1:]:
+        r.add_frame("clean", f"drift against {s}", stats.drift_table(m.where("split = 'train'"), m.where(F.col("split") == s), ("yr", "votes_log1p"), s))
     files.write_parquet(r.frame(spark), f"{out}/report")
     return r
 
@@ -102,15 +131,15 @@ class Timer:
         self.rows.append((name, round(time.monotonic() - began, 3)))
 
 
-def run(spark: SparkSession, source: str, out: str, names: Sequence[str], enrich: bool = False) -> list[tuple[str, float]]:
+def run(spark: SparkSession, source: str, out: str, names: Sequence[str], enriched: bool = False) -> list[tuple[str, float]]:
     """Run the stages; enrichment follows cleaning and needs it among them. Timings are written as CSV."""
-    if enrich and "cleaning" not in names:
+    if enriched and "cleaning" not in names:
         raise ValueError("enrichment follows cleaning")
     timer = Timer()
     for n in names:
         with timer.step(n):
             STAGES[n](spark, source, out)
-        if enrich and n == "cleaning":
+        if enriched and n == "cleaning":
             with timer.step("enrichment"):
                 enrichment(spark, source, out)
     files.write_csv(spark.createDataFrame(timer.rows, "step string, seconds double").coalesce(1), f"{out}/timings")

@@ -67,14 +67,15 @@ def test_stage_choice():
 @needs_tables
 def test_stages_run_from_tables_to_predictions(spark, tmp_path):
     out = str(tmp_path)
-    timings = stages.run(spark, SF, out, stages.choose(), enrich=True)
+    timings = stages.run(spark, SF, out, stages.choose(), enriched=True)
     assert [n for n, _ in timings] == ["cleaning", "enrichment", "features", "models", "report"]
     n = t.movies(spark, SF).where("split = 'test'").count()
     lines = [r["value"] for r in spark.read.text(f"{out}/predictions").collect()]
     assert len(lines) == n and set(lines) <= {"True", "False"}
+    assert spark.read.parquet(f"{out}/enrichment/recovery").count() == 3 and spark.read.parquet(f"{out}/report").where("check LIKE 'drift%'").count() > 0
     assert spark.read.json(f"{out}/metrics").where("chosen").count() == 1
     with pytest.raises(ValueError, match="follows"):
-        stages.run(spark, SF, out, ["models"], enrich=True)
+        stages.run(spark, SF, out, ["models"], enriched=True)
 
 
 @needs_tables
