@@ -47,3 +47,11 @@ def pinned(df: DataFrame) -> DataFrame:
 def extended(df: DataFrame, **more: str) -> StructType:
     """The schema of ``df`` with further fields, given as name and type."""
     return StructType([*df.schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in more.items())])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

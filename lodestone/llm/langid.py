@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    cols = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    cols = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

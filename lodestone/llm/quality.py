@@ -110,7 +110,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(weights.astype(np.float64))
-    cols = [c for c in docs.columns if c != out]
+    cols = [c for c in docs.columns if c.lower() != out.lower()]
     at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

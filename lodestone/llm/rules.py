@@ -58,11 +58,13 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns named like a measurement are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    kept = [f"`{c}`" for c in docs.columns if c != text_col and c not in made]
+    own = [c for c in docs.columns if c != text_col and c.lower() not in made]
+    kept = ["_row"]  # one column for all others, so that no name of theirs meets one of the names below
     spaced = F.col("_t")
     for c in SPACES:
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    d = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.lit(None)
+    d = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     d = d.select(
         *kept,
         spaced.alias("_s"),
@@ -99,13 +101,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
                          (x, r) -> IF(r, x.p, NULL)),
                 p -> p IS NOT NULL))""").alias("_p"),
     )
-    return d.select(
-        *now,
-        F.expr(f"""
-            CAST(coalesce(aggregate(
-                zip_with(_p, slice(_p, 2, size(_p)), (a, b) -> least({WINDOW}, coalesce(b - a, {WINDOW}))),
-                0, (s, x) -> s + x), 0) AS long)""").alias("n_repeat_words"),
-    )
+    repeat = F.expr(f"""
+        CAST(coalesce(aggregate(
+            zip_with(_p, slice(_p, 2, size(_p)), (a, b) -> least({WINDOW}, coalesce(b - a, {WINDOW}))),
+            0, (s, x) -> s + x), 0) AS long)""")
+    return d.select(*[F.col("_row")[c].alias(c) for c in own], *now[1:], repeat.alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -30,6 +30,14 @@ def test_stages_keep_the_columns_and_what_is_good(spark, tmp_path):
     assert sorted(r["doc_id"] for r in packed.where("piece = 0").collect()) == sorted(ids)
 
 
+def test_clashing_columns_pass_through(spark, tmp_path):
+    docs = tables(spark, tmp_path).selectExpr("*", "1 AS _quality", "2 AS _nth", "3 AS n_words", "4 AS fp", "5 AS kept")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in out.collect()} == {(1, 2, 3, 4, 5)}, name
+
+
 def test_empty_tables(spark, tmp_path):
     docs = tables(spark, tmp_path / "full")
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")

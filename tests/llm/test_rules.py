@@ -48,3 +48,13 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert rules.ledger(none).count() == 0
     assert {r["failed"] for r in rules.ablations(rules.ledger(none), rules.Policy("v1")).collect()} <= {0}
+
+
+def test_columns_with_the_operators_own_names_survive(spark):
+    names = ["_t", "_s", "_w", "_h", "_z", "_e", "_p", "_row", "_lines", "a`b c"]
+    df = spark.createDataFrame([(*range(len(names)), "one two")], ", ".join(f"`{n.replace('`', '``')}` int" for n in names) + ", text string")
+    df = df.withColumnRenamed("a`b c", "a b")
+    (r,) = rules.ledger(df).collect()
+    assert [r[n] for n in names[:-1]] == list(range(len(names) - 1)) and r["a b"] == len(names) - 1 and r["n_words"] == 2
+    (r,) = rules.ledger(df.select("text")).collect()
+    assert r["n_words"] == 2
