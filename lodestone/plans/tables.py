@@ -1,4 +1,4 @@
-"""The reference's roles played by the given tables, with planted dirt; each as a frame and as SQL.
+"""The roles of a title catalog played by the given tables, with planted dirt; each as a frame and as SQL.
 
 Orders stand for titles (key k), their line items for edges to people (s) and to parts (p), suppliers for people.
 """
