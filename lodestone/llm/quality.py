@@ -99,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
                 model.learn(i, x, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], ["w"])
 
-    found = sample.coalesce(1).mapInArrow(run, "w binary").collect()
+    gathered = sample.repartition(1)  # a shuffle of the bounded sample; the scan before it stays parallel
+    found = gathered.mapInArrow(run, "w binary").collect()
     return np.frombuffer(found[0]["w"], "<f4") if found else np.zeros((1 << BITS) + 1, dtype="<f4")
 
 
