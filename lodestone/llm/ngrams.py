@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at a time; a longer document is parted between words.
+#: Bytes of text that are hashed at a time; a longer document is parted between words, a longer word is summed in pieces.
 SEGMENT = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -51,14 +51,25 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _segments(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Ranges of at most ``SEGMENT`` bytes with the places inside at which a document starts."""
+def _segments(raw: np.ndarray, at: np.ndarray, is_space: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of at most ``SEGMENT`` bytes with the places inside at which a document starts.
+
+    Cuts lie at separators. A word of more bytes than that is a range by itself.
+    """
     cuts: list[int] = []
     for i in np.flatnonzero(np.diff(at) > SEGMENT).tolist():
-        a = int(at[i])
-        while at[i + 1] - a > SEGMENT:
-            spaces = np.flatnonzero(_SPACE[raw[a + 1 : a + SEGMENT]])
-            a += int(spaces[-1]) + 1 if len(spaces) else SEGMENT
+        a, stop = int(at[i]), int(at[i + 1])
+        while stop - a > SEGMENT:
+            spaces = np.flatnonzero(is_space[raw[a + 1 : a + SEGMENT]])
+            if len(spaces):
+                a += int(spaces[-1]) + 1
+            elif is_space[raw[a]]:
+                a += 1
+            else:
+                a += SEGMENT
+                while a < stop and not len(spaces):
+                    spaces = np.flatnonzero(is_space[raw[a : min(a + SEGMENT, stop)]])
+                    a = a + int(spaces[0]) if len(spaces) else min(a + SEGMENT, stop)
             cuts.append(a)
     edges = np.unique(np.concatenate([at, np.array(cuts, dtype=np.int64)]))
     a = 0
@@ -68,14 +79,39 @@ def _segments(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.nd
         a = b
 
 
+def _long_word(word: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Hash and shape hash of one word of any length; the sums are carried over from piece to piece."""
+    total = shape = np.zeros(1, dtype=np.uint64)
+    up = shape_up = _UP[:1]
+    last = None
+    with np.errstate(over="ignore"):
+        for i in range(0, len(word), SEGMENT):
+            part = word[i : i + SEGMENT]
+            total = total + up * ((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)]).sum()
+            up = up * _UP[SEGMENT]
+            kind = _SHAPE[part]
+            kept = kind[np.concatenate([[last is None or kind[0] != last], kind[1:] != kind[:-1]])]
+            shape = shape + shape_up * ((kept.astype(np.uint64) + np.uint64(1)) * _UP[: len(kept)]).sum()
+            shape_up = shape_up * _UP[len(kept)]
+            last = kind[-1]
+    return mix(total)[0], mix(shape)[0]
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray, is_space: np.ndarray = _SPACE, shapes: bool = False) -> tuple[np.ndarray, ...]:
     """(hash, start, end[, shape hash]) of every word of all texts; start and end are byte offsets.
 
     A word's hash depends on its bytes alone. Its shape is the run-free sequence of its bytes' classes.
     """
     hashes, starts, ends, shaped = [], [], [], []
-    for a, b, firsts in _segments(raw, at):
+    for a, b, firsts in _segments(raw, at, is_space):
         part = raw[a:b]
+        if len(part) > SEGMENT:
+            one, shape = _long_word(part)
+            hashes.append(np.array([one], dtype=np.uint64))
+            shaped.append(np.array([shape], dtype=np.uint64))
+            starts.append(np.array([a]))
+            ends.append(np.array([b]))
+            continue
         word = ~is_space[part]
         before = np.concatenate([[False], word[:-1]])
         before[firsts] = False
