@@ -25,6 +25,8 @@ class Template:
     label: str
     text: str
     base: bool = False  #: base templates count only where their words stand consecutively
+    needs: str = ""  #: words that tell the license from its siblings; a passage must hold all of them
+    bars: str = ""  #: a word, and words of which none may follow it in the passage, since they name a sibling
 
 
 #: Fixed phrases of the contract, then the opening words of widespread licenses and their notices.
@@ -35,13 +37,16 @@ TEMPLATES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", bars="gnu lesser library affero"),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", needs="lesser"),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", bars="attribution noncommercial non sharealike share noderivatives noderivs no"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", needs="noncommercial"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", needs="sharealike"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution non commercial 4 0 international license", needs="commercial"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution share alike 4 0 international license", needs="alike"),
+    Template("lgpl", "under the terms of the gnu library general public license as published by the free software foundation", needs="library"),
 )
 
 _NO_WORD = np.ones(256, dtype=bool)
@@ -97,7 +102,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     coverage). All k-gram hashes of a text join the template positions; each hit votes for the diagonal (position in
     the text less position in the template) and is verified there: the words of the text on that diagonal are compared
     with the template's. Base templates count each diagonal on which all their words stand. For the others,
-    neighbouring diagonals are merged and count from ``COVERAGE`` of the template's words on. score is the highest
+    neighbouring diagonals are merged and count from ``COVERAGE`` of the template's words on, if they hold the words that
+    the template needs and none that it bars. score is the highest
     coverage of a counted passage, else 0.
 
     One row goes through the shuffle for each document and for each verified diagonal. Rows are told apart by id and
@@ -123,24 +129,29 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     cut = docs.select(F.col(id_col).alias("doc_id"), F.sha1(text.cast("binary")).alias("text_hash"), text.alias("text"))
     cut = cut.mapInArrow(split, f"doc_id {kind}, text_hash string, words array<string>, grams array<long>")
     all_words = F.array(*[F.array(*[F.lit(w) for w in t.text.split()]) for t in templates])
+    bars = F.array(*[F.array(*[F.lit(w) for w in t.bars.split()]).cast("array<string>") for t in templates])
     hits = (
         cut.select("doc_id", "text_hash", "words", F.posexplode("grams").alias("pos", "gram"))
         .join(F.broadcast(template_table(spark, templates)), "gram")
         .select("doc_id", "text_hash", "words", "template", (F.col("pos") - 1 - F.col("at")).alias("diagonal"))
         .withColumn("t", F.when(F.col("template") >= 0, F.get(all_words, F.col("template"))))
+        .withColumn("x", F.when(F.col("template") >= 0, F.get(bars, F.col("template"))))
+        .withColumn("bar_at", F.col("diagonal") + F.expr("CAST(array_position(t, get(x, 0)) AS INT)"))
         .select(
             "doc_id", "text_hash", "template",
             F.when(F.col("template") >= 0, F.col("diagonal")).otherwise(0).alias("diagonal"),
             F.when(F.col("template") < 0, F.size("words").cast("long")).alias("n_words"),
             F.expr("coalesce(aggregate(transform(t, (w, i) -> IF(get(words, diagonal + i) <=> w, shiftleft(1L, i), 0L)), 0L, (s, x) -> s | x), 0L)").alias("mask"),
+            F.expr("coalesce(get(words, bar_at - 1) = get(x, 0) AND array_position(slice(x, 2, size(x)), get(words, bar_at)) > 0, false)").alias("barred"),
         )
     )
     key = ["doc_id", "text_hash"]
-    votes = hits.repartition(*key).groupBy(*key, "template", "diagonal").agg(F.max("mask").alias("mask"), F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"))
+    votes = hits.repartition(*key).groupBy(*key, "template", "diagonal").agg(F.max("mask").alias("mask"), F.max("barred").alias("barred"), F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"))
     w = Window.partitionBy(*key, "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(w) <= NEIGHBOURS, 0).otherwise(1)
     size = F.get(F.array(*[F.lit(len(t.text.split())) for t in templates]), F.col("template"))
     is_base = F.get(F.array(*[F.lit(t.base) for t in templates]), F.col("template"))
+    needs = F.get(F.array(*[F.lit(sum(1 << i for i, w in enumerate(t.text.split()) if w in t.needs.split())).cast("long") for t in templates]), F.col("template"))
     label = F.get(F.array(*[F.lit(t.label) for t in templates]), F.col("template"))
     clusters = (
         votes.withColumn("apart", apart)
@@ -149,12 +160,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
         .withColumn("lead", F.col("diagonal") + F.log2(F.col("mask").bitwiseAND(-F.col("mask")).cast("double")).cast("int"))
         .groupBy(*key, "template", "passage")
         .agg(
-            F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.bit_or("mask").alias("mask"),
+            F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.bit_or("mask").alias("mask"), F.max("barred").alias("barred"),
             F.count("full").alias("n_base"), F.min("full").alias("first_full"), F.max("full").alias("last_full"),
             F.min("lead").alias("first"), F.max("diagonal").alias("last_diagonal"),
         )
         .withColumn("share", F.bit_count("mask") / size)
-        .withColumn("counts", F.when(F.col("template") < 0, False).when(is_base, F.col("n_base") > 0).otherwise(F.col("share") >= COVERAGE))
+        .withColumn("counts", F.when(F.col("template") < 0, False).when(is_base, F.col("n_base") > 0).otherwise((F.col("share") >= COVERAGE) & (F.col("mask").bitwiseAND(needs) == needs) & ~F.col("barred")))
     )
     base = F.col("counts") & is_base
     join = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, label))), ",")
