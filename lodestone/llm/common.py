@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of an Arrow batch that goes to a Python worker. Long documents make wide rows, so batches stay small.
 BATCH_ROWS = 256
@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and make sure that a checkpoint folder is set.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where none is set (tests on one
-    machine) a temporary one is made.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only where none is set and all tasks run
+    on this machine (tests) a temporary one is made; elsewhere that is an error, as other machines would not see it.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return spark
 
@@ -46,7 +48,12 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def extended(df: DataFrame, **more: str) -> StructType:
     """The schema of ``df`` with further fields, given as name and type."""
-    return StructType([*df.schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in more.items())])
+    return StructType([*df.schema.fields, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in more.items())])
+
+
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, prepare
+from .common import extended, prepare, quoted
 from .ngrams import text_bytes
 
 BITS = 15
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     scores.append(share)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    narrow = docs.select(*[F.col(f"`{c}`") for c in cols])
+    narrow = docs.select(*[F.col(quoted(c)) for c in cols])
     return narrow.mapInArrow(run, extended(narrow, lang_pred="string", score="double"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, prepare
+from .common import extended, prepare, quoted
 from .ngrams import mix, owners, text_bytes, word_hashes
 
 #: log2 of the number of hashed features.
@@ -122,7 +122,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
             logit = w[-1] + MASS * total / np.maximum(1, np.bincount(doc, minlength=b.num_rows))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(logit))], [*b.schema.names, out])
 
-    narrow = docs.select(*[F.col(f"`{c}`") for c in cols])
+    narrow = docs.select(*[F.col(quoted(c)) for c in cols])
     return narrow.mapInArrow(run, extended(narrow, **{out: "double"}))
 
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: The characters that part words, and those that count as symbols.
 SPACES = ("\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = "#*$%&|<>"
@@ -63,8 +65,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spaced = F.col("_t")
     for c in SPACES:
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.lit(None)
-    d = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    row = F.struct(*[F.col(quoted(c)) for c in own]) if own else F.lit(None)
+    d = docs.select(row.alias("_row"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("_t"))
     d = d.select(
         *kept,
         spaced.alias("_s"),

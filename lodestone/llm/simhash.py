@@ -15,7 +15,7 @@ from .common import pinned, prepare
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: A bucket with more fingerprints than this is not compared pair by pair; see ``links``.
+#: A bucket with more fingerprints than this is not compared pair by pair but indexed as one segment; see ``links``.
 DENSE = 512
 _BIT = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.float64)
 
@@ -146,7 +146,7 @@ def _links_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.nulls(len(c), pa.int64())], ["a", "b"])
 
 
-def _wide_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ball = _ball(64, 2)
     for b in batches:
         for fp in np.array_split(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), max(1, b.num_rows // 32)):
@@ -154,37 +154,46 @@ def _wide_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, len(ball)).view(np.int64))], ["key", "fp"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], radius: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Every member of a bucket with the bucket's first; with ``radius`` their complete distances are verified."""
     for (_, fp), at, head in _runs(batches, 1):
         heads = fp[at[:-1]].copy()
         if head is not None:
             heads[0] = head
         least = np.repeat(heads, np.diff(at))
         keep = least != fp
+        if radius is not None:
+            keep &= np.bitwise_count(least.view(np.uint64) ^ fp.view(np.uint64)) <= radius
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(least[keep])], ["a", "b"])
 
 
+def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _stars(batches, RADIUS)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) over distinct fingerprints that connect all that lie within ``RADIUS`` bits of each other.
 
     Buckets gather fingerprints by table key; within a bucket complete distances are verified and a component of n
-    members gives n - 1 edges. A bucket of over ``DENSE`` members is not compared pair by pair: its members are keyed
-    by their balls of radius two over all 64 bits. Two such balls meet exactly if the fingerprints are within four
-    bits, so each key links its members to one of them, in time linear in the members and without any comparison.
+    members gives n - 1 edges. The members of a bucket of over ``DENSE`` go to an index of one segment of 64 bits, keyed
+    by their balls of radius two. Two such balls meet exactly if the fingerprints are within four bits, so it is enough
+    to verify each member of a key against one of them: linear in the members, in many small buckets, with no pair lost.
     """
-    buckets = _probes(fps).repartition("kind", "key").sortWithinPartitions("kind", "key")
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # before rows grow 66-fold
+    buckets = _probes(spread).repartition("kind", "key").sortWithinPartitions("kind", "key")
     found = pinned(buckets.mapInArrow(_links_in_buckets, "a long, b long").distinct())
     crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    wide = crowded.mapInArrow(_wide_balls, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    return found.where("b IS NOT NULL").union(wide.mapInArrow(_stars, "a long, b long")).distinct()
+    whole = crowded.mapInArrow(_whole_balls, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    return found.where("b IS NOT NULL").union(whole.mapInArrow(_near_stars, "a long, b long")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node of its component.
 
     Alternates large-star and small-star steps until the edges no longer change. Each round is kept in the shared
-    checkpoint folder; the driver sees a count and a checksum.
+    checkpoint folder; the driver sees a count and a checksum. Least neighbours are kept too: both sides of a join are
+    then plain shuffles, of which adaptive execution splits the partition that holds a hub.
     """
     e = pinned(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
@@ -194,9 +203,10 @@ def connected(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
         seen = mark
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = pinned(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = pinned(large)
+        least = pinned(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.expr("CASE WHEN v = m THEN array(struct(u, m)) ELSE array(struct(v AS u, m)) END")).alias("x"))
         e = pinned(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).distinct())
 
@@ -213,6 +223,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(links(nodes.select("fp")))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    group = named.select("fp", "root").join(component, "root").select("fp", "component_id")
+    component = pinned(named.groupBy("root").agg(F.min("least").alias("component_id")))  # a large one's members may then be split
+    group = pinned(named.select("fp", "root").join(component, "root").select("fp", "component_id"))
     return marked.join(group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
