@@ -38,6 +38,17 @@ def test_clashing_columns_pass_through(spark, tmp_path):
         assert {tuple(r)[5:] for r in out.collect()} == {(1, 2, 3, 4, 5)}, name
 
 
+def test_rows_are_told_by_id_and_text(spark):
+    """Different texts under one id are judged apart; copies go whatever their ids; one of equal rows stays."""
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(4))
+    rows = [(5, a, "x"), (5, b, "y"), (7, c, "z"), (9, a, "later copy"), (None, c, "copy without id"), (None, d, "n"), (None, d, "n"), (7, c, "z"), (8, None, "e"), (8, "", "e"), (None, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a``b` string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(5, a), (5, b), (7, c), (0, d), (8, "")])
+    assert corpus_pipeline.near_duplicates(spark, df.where("doc_id = 5"), "").count() == 2
+
+
 def test_empty_tables(spark, tmp_path):
     docs = tables(spark, tmp_path / "full")
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")

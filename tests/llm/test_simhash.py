@@ -82,5 +82,28 @@ def test_links_keep_every_connection(spark, monkeypatch, dense):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_crowded_buckets_as_they_are(spark):
+    """A third of all fingerprints share the upper half up to one bit: more than are compared pair by pair."""
+    rng = random.Random(8)
+    c = rng.getrandbits(64)
+    fps = {c ^ 1 << i ^ 1 << j for i in range(32) for j in range(64)} | {rng.getrandbits(64) for _ in range(3000)} | {c ^ 0x1F, c ^ 0x1F00000001, c ^ 0x3FF}
+    assert len(fps) > 4000
+    roots = {r["node"]: r["root"] for r in simhash.connected(simhash.links(spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long"))).collect()}
+    got = {}
+    for x in fps:
+        s = int(np.uint64(x).view(np.int64))
+        got.setdefault(roots.get(s, s), set()).add(x)
+    want = {}
+    fps = sorted(fps)
+    for d, _, r in brute_groups(list(enumerate(fps))):
+        want.setdefault(r, set()).add(fps[d])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_very_long_text():
+    text = "\t".join(f"Word{i % 977}" for i in range(200_000))
+    assert simhash.fingerprint(text) == brute_fp(text)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
