@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import tiktoken
@@ -61,4 +62,25 @@ def test_a_full_cache_forgets_and_still_encodes(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     first = c.digests(["one two three four five six", "seven"])
-    assert len(c.ids) <= 3 and c.digests(["one two three four five six", "seven"]) == first
+    assert len(c.known) == len(c.first) == len(c.count) <= 3 and c.digests(["one two three four five six", "seven"]) == first
+
+
+def test_long_pieces_agree_with_the_library_and_with_the_shared_trees():
+    """Unbroken texts, up to one million bytes, which take seconds."""
+    rng = random.Random(6)
+    for n in (511, 512, 513, 700, 4097):
+        piece = bytes(rng.choice(b"aeinstr") for _ in range(n))
+        assert bpe.encode_pieces([piece], CODEC.table)[0].tolist() == brute(piece)
+    for text in ("".join(rng.choice("aeinstrdlou") for _ in range(1_000_000)), "a" * 300_000, "\u65e5\u672c" * 50_000):
+        began = time.perf_counter()
+        ids = CODEC.encode(text)
+        assert time.perf_counter() - began < 60
+        assert ids == LIBRARY.encode_ordinary(text) and CODEC.decode(ids) == text.encode()
+
+
+def test_decoding_takes_the_ids():
+    """The second digest is of the bytes that the id sequence stands for, not of the text."""
+    c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    c.tokens = bpe._Bytes([b"<%d>" % i for i in range(max(RANKS.values()) + 1)])
+    ids = LIBRARY.encode_ordinary("one two")
+    assert c.digests(["one two"])[0][2] == hashlib.sha256("".join(f"<{i}>" for i in ids).encode()).hexdigest()
