@@ -17,64 +17,80 @@ from .bpe import load_ranks
 from .common import extended, pinned, prepare
 
 
+class SumIndex:
+    """The lengths still available, and by their sums the pairs and triples of them.
+
+    ``left`` holds the number of pieces of each length; it is the caller's and only falls. The combinations of a sum are
+    listed when it is first asked for, those with the largest member first. One whose members are used up is taken off
+    its list for good when a lookup meets it, so lists stay in step with the counts.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.lengths = np.flatnonzero(left).tolist()[::-1]
+        self.pair_lists: dict[int, list[tuple[int, int]]] = {}
+        self.triple_lists: dict[int, list[int]] = {}
+
+    def free(self, length: int, held: tuple[int, ...]) -> int:
+        return int(self.left[length]) - held.count(length)
+
+    def single(self, total: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (total,) if self.free(total, held) > 0 else None
+
+    def pair(self, total: int, held: tuple[int, ...], below: int | None = None) -> tuple[int, ...] | None:
+        """The pair of this sum whose larger member is largest (and at most ``below``), besides what is ``held``."""
+        listed = self.pair_lists.get(total)
+        if listed is None:
+            listed = self.pair_lists[total] = [(x, total - x) for x in self.lengths if total <= 2 * x < 2 * total and self.left[total - x] > 0]
+        alive = found = None
+        for i, (x, y) in enumerate(listed):
+            if self.left[x] < 1 + (x == y) or self.left[y] < 1:
+                alive = listed[:i] if alive is None else alive
+                continue
+            if alive is not None:
+                alive.append((x, y))
+            if found is None and (below is None or x <= below) and self.free(x, held) > (x == y) and self.free(y, held) > 0:
+                found = (x, y)
+                if alive is None:
+                    break
+        if alive is not None:
+            self.pair_lists[total] = alive
+        return found
+
+    def triple(self, total: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """The triple of this sum whose largest member is largest."""
+        listed = self.triple_lists.get(total, [x for x in self.lengths if total <= 3 * x < 3 * total])
+        listed = self.triple_lists[total] = [x for x in listed if self.left[x] > 0]
+        for x in listed:
+            if self.pair_lists.get(total - x) != [] and self.free(x, held) > 0 and (p := self.pair(total - x, (*held, x), x)) is not None:
+                return (x, *p)
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence's pieces, number of such sequences) for all pieces of the histogram.
 
     For each length from the longest down, the gap that it leaves is looked up among the single lengths, then the pair
-    sums, then the triple sums that are still available; a combination that fills the gap exactly is taken as often as
-    its members allow. What has no exact complement is placed by best fit, longest first: into the sequence with the
-    least sufficient room, or else a new one. The cost depends on the number of lengths, not of pieces.
+    sums, then the triple sums of the index; a combination that fills the gap exactly is taken as often as its members
+    allow. What has no exact complement is placed by best fit, longest first: into the sequence with the least
+    sufficient room, or else a new one. The cost depends on the number of lengths, not of pieces.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
+    index = SumIndex(left)
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(lengths: tuple[int, ...]) -> None:
-        need = {x: lengths.count(x) for x in set(lengths)}
-        n = min(int(left[x]) // k for x, k in need.items())
-        for x, k in need.items():
-            left[x] -= n * k
-        out.append((lengths, n))
-
-    def single(gap: int, spare: np.ndarray) -> tuple[int, ...] | None:
-        return (gap,) if spare[gap] > 0 else None
-
-    def pair(gap: int, spare: np.ndarray, below: int | None = None) -> tuple[int, ...] | None:
-        """The pair with this sum whose larger member is largest (and at most ``below``)."""
-        y = np.arange(1, gap // 2 + 1)
-        x = gap - y
-        fits = (spare[x] > 0) & (spare[y] > 0) & ((x != y) | (spare[x] > 1))
-        if below is not None:
-            fits &= x <= below
-        at = np.flatnonzero(fits)
-        return (int(x[at[0]]), int(y[at[0]])) if len(at) else None
-
-    def triple(gap: int, spare: np.ndarray) -> tuple[int, ...] | None:
-        has = (spare[:gap] > 0).astype(np.int64)
-        has[0] = 0
-        pairs = np.convolve(has, has)[: gap + 1]
-        lengths = np.flatnonzero(has)
-        for x in lengths[pairs[gap - lengths] > 0][::-1].tolist():
-            rest = spare.copy()
-            rest[x] -= 1
-            if (p := pair(gap - x, rest, x)) is not None:
-                return (x, *p)
-        return None
-
     for length in range(capacity, 0, -1):
         while left[length]:
-            gap = capacity - length
-            if not gap:
-                take((length,))
-                continue
-            spare = left[: gap + 1].copy()
-            if length <= gap:
-                spare[length] -= 1
-            found = single(gap, spare) or pair(gap, spare) or triple(gap, spare)
+            gap, held = capacity - length, (length,)
+            found = (index.single(gap, held) or index.pair(gap, held) or index.triple(gap, held)) if gap else ()
             if found is None:
                 break
-            take((length, *found))
+            lengths = (length, *found)
+            n = min(int(left[x]) // lengths.count(x) for x in lengths)
+            for x in lengths:
+                left[x] -= n
+            out.append((lengths, n))
 
     room: dict[int, list[list]] = {}
     for length in range(capacity, 0, -1):
@@ -152,7 +168,9 @@ def pieces(docs: DataFrame, files: tuple[str, str, str], capacity: int = 1024, e
     """doc_id, piece, start, length, ids_crc32, part, local_rank[, ids] of every piece of every row.
 
     part and local_rank number the pieces of each length within a task. ``files`` are the tokenizer's file, the same
-    vocabulary as ranks, and the pattern that splits text.
+    vocabulary as ranks, and the pattern that splits text. A null text counts as empty and has the one piece of
+    ``end_id``; a text of any length is encoded whole and cut. Each row stands alone, so null and repeated ids do not
+    matter; an empty table gives no rows; other columns are ignored.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"] + ["ids"] * keep_ids
 

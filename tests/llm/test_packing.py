@@ -1,10 +1,12 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -39,6 +41,49 @@ def test_plans_use_every_piece_once_and_stay_near_the_bound(seed):
     assert sum(n for _, n in plan) <= bound * 1.01 + 1
 
 
+def brute_plan(counts, capacity):
+    """The first phase piece by piece: single, pair, then triple complements, each with its largest members."""
+    left, out = Counter(counts), Counter()
+
+    def fits(lengths):
+        return all(left[x] >= n for x, n in Counter(lengths).items())
+
+    for a in range(capacity, 0, -1):
+        while left[a]:
+            gap = capacity - a
+            some = [()] if not gap else [(gap,)] if fits((a, gap)) else []
+            some = some or [(x, gap - x) for x in range(gap - 1, 0, -1) if 2 * x >= gap and fits((a, x, gap - x))]
+            some = some or [(x, y, gap - x - y) for x in range(gap - 2, 0, -1) for y in range(min(x, gap - x - 1), 0, -1) if y >= gap - x - y and fits((a, x, y, gap - x - y))]
+            if not some:
+                break
+            out[(a, *some[0])] += 1
+            left.subtract((a, *some[0]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_exact_phase_agrees_with_brute_force(seed):
+    rng = random.Random(seed)
+    counts = {x: rng.randrange(1, 4) for x in rng.sample(range(1, 49), 14)}
+    got = Counter()
+    for lengths, n in packing.plan(counts, 48):
+        if sum(lengths) == 48 and len(lengths) <= 4:
+            got[lengths] += n
+    want = brute_plan(counts, 48)
+    assert all(got[x] >= n for x, n in want.items()) and packing.plan(counts, 48)[: len(want)] == [(x, got[x]) for x in want]
+
+
+def test_ids_agree_with_the_tokenizer_file_on_a_whole_table():
+    """The faster library stands in for the tokenizer file: the same ids for every document."""
+    table = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(table):
+        pytest.skip("no test tables")
+    texts = [t or "" for t in pq.read_table(table, columns=["text"])["text"].to_pylist()]
+    ids_of = packing.TokenIds(*packing_files())
+    want = TOKENIZER.encode_batch(texts, add_special_tokens=False)
+    assert all(ids_of(t).tolist() == w.ids for t, w in zip(texts, want, strict=True))
+
+
 def test_cut():
     assert packing.cut(1, 4) == [(0, 1)] and packing.cut(4, 4) == [(0, 4)]
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(12, 4) == [(0, 4), (4, 4), (8, 4)]
