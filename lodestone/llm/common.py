@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Rows of an Arrow batch that goes to a Python worker. Long documents make wide rows, so batches stay small.
@@ -51,6 +54,24 @@ def extended(df: DataFrame, **more: str) -> StructType:
     return StructType([*df.schema.fields, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in more.items())])
 
 
+def with_computed(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], **more: str) -> DataFrame:
+    """``df`` with further columns (name and type), made from its Arrow batches; columns of these names are replaced.
+
+    The batches' columns are in the frame's order without the replaced ones. They have plain names on their way to
+    Python, as its interface takes no others.
+    """
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in more}]
+    plain = df.select(*[F.col(quoted(c)) for c in kept]).toDF(*[f"c{i}" for i in range(len(kept))])
+    schema = extended(plain, **{f"m{i}": t for i, t in enumerate(more.values())})
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names)
+
+    return plain.mapInArrow(run, schema).toDF(*kept, *more)
+
+
 def quoted(name: str) -> str:
     """A column's name as an identifier, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, prepare, quoted
+from .common import prepare, with_computed
 from .ngrams import text_bytes
 
 BITS = 15
@@ -43,16 +43,23 @@ def grams(raw: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Smoothed n-gram likelihoods of every non-null language, from ``rows`` documents of each at most.
 
-    The chosen documents are those least by a hash of their ids; their texts are counted where they lie, and what
-    leaves a task is one count vector per language. The model has a fixed size for each language.
+    The chosen documents are those least by a hash of their ids. How many documents a language has tells below which
+    hash about eight times ``rows`` of them lie; only these are ranked, so a common language gathers no more rows than a
+    rare one. Texts are counted where they lie, and what leaves a task is one count vector per language. The model has
+    a fixed size for each language.
+
+    Rows whose language, text or id is null teach nothing. Equal hashes are ordered by id; of an id's rows with one
+    language all texts count if it is chosen, whether repeated or different, and it may be chosen under several
+    languages. An empty table gives a model without languages. Other columns are ignored.
     """
     prepare(docs.sparkSession)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    rank = F.row_number().over(Window.partitionBy("_l").orderBy("_o", "_id"))
-    chosen = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l"), key.alias("_o")).withColumn("_r", rank).where(F.col("_r") <= rows)
-    picked = chosen.select("_id", "_l").distinct()
-    sample = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(picked), ["_id", "_l"])
+    named = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l"), F.col(text_col).cast("string").alias("_t"))
+    share = F.broadcast(named.groupBy("_l").agg(F.count("_id").alias("_n")).withColumn("_below", F.lit(8.0 * rows) / F.col("_n")))
+    low = named.select("_id", "_l", F.xxhash64(F.col("_id").cast("string")).alias("_o")).join(share, "_l").where((F.col("_o") / 2.0**64 + 0.5) < F.col("_below"))
+    rank = F.dense_rank().over(Window.partitionBy("_l").orderBy("_o", "_id"))
+    picked = low.withColumn("_r", rank).where(F.col("_r") <= rows).select("_id", "_l").distinct()
+    sample = named.join(F.broadcast(picked), ["_id", "_l"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -89,8 +96,8 @@ def proportions(count: np.ndarray, like: np.ndarray, start: np.ndarray, rounds:
     return share, float(count @ np.log(like @ share))
 
 
-def infer(text: np.ndarray, model: Model) -> tuple[int, float]:
-    """The main language of the selected set and its proportion.
+def infer(text: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The selected set of languages and their proportions, largest first.
 
     All languages are fitted together first. Then sets of the 1, 2, … largest are compared: a further language stays
     only if it raises the log-likelihood by more than the penalty.
@@ -113,38 +120,35 @@ def infer(text: np.ndarray, model: Model) -> tuple[int, float]:
         if total - best <= price * (size - len(chosen)):
             break
         chosen, best, weights = order[:size], total, w
-    top = int(np.argmax(weights))
-    return int(chosen[top]), float(min(1.0, weights[top]))
+    falling = np.argsort(-weights, kind="stable")
+    return chosen[falling], np.minimum(1.0, weights[falling])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the language's proportion), from the whole text.
+    """``docs`` with lang_pred, score (the language's proportion) and languages, from the whole text.
 
-    A null text, one without a letter, or a model without languages gives ``und`` and 0. Columns named lang_pred or
-    score are replaced; each row stands alone.
+    languages is the selected set with its proportions, largest first: an array of (lang, share); lang_pred and score
+    are its first entry. A null text, one without a letter, or a model without languages gives ``und``, 0 and no
+    languages. Columns of these names are replaced; each row stands alone. An empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    cols = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    at = cols.index(text_col)
+    made = {"lang_pred": "string", "score": "double", "languages": "array<struct<lang: string, share: double>>"}
+    at = [c for c in docs.columns if c.lower() not in made].index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(b: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
-        for b in batches:
-            raw, starts = text_bytes(b.column(at))
-            langs, scores = [], []
-            for i, text in enumerate(b.column(at).to_pylist()):
-                if not m.langs or not _LETTER.search(text or ""):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    best, share = infer(raw[starts[i] : starts[i + 1]], m)
-                    langs.append(m.langs[best])
-                    scores.append(share)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
-
-    narrow = docs.select(*[F.col(quoted(c)) for c in cols])
-    return narrow.mapInArrow(run, extended(narrow, lang_pred="string", score="double"))
+        raw, starts = text_bytes(b.column(at))
+        sets: list[list[dict]] = []
+        for i, text in enumerate(b.column(at).to_pylist()):
+            some = zip(*infer(raw[starts[i] : starts[i + 1]], m), strict=True) if m.langs and _LETTER.search(text or "") else ()
+            sets.append([{"lang": m.langs[k], "share": float(w)} for k, w in some])
+        return [
+            pa.array([s[0]["lang"] if s else UNKNOWN for s in sets], pa.string()), pa.array([s[0]["share"] if s else 0.0 for s in sets], pa.float64()),
+            pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))),
+        ]
+
+    return with_computed(docs, found, **made)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import load_ranks
-from .common import extended, pinned, prepare
+from .common import pinned, prepare, with_computed
 
 
 class SumIndex:
@@ -211,11 +211,10 @@ def pack(cut_pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     base = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     shared = held.sparkSession.sparkContext.broadcast(places)
     kept = [c for c in held.columns if c not in ("part", "local_rank")]
-    ranked = held.join(base, ["part", "length"]).select(*kept, (F.col("base") + F.col("local_rank")).alias("rank"))
+    ranked = held.join(base, ["part", "length"]).select(*kept, (F.col("base") + F.col("local_rank")).alias("_rank"))
+    length, rank = kept.index("length"), len(kept)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sequence, offset = shared.value.find(b.column("length").to_numpy(), b.column("rank").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+    def place(b: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(x) for x in shared.value.find(b.column(length).to_numpy(), b.column(rank).to_numpy())]
 
-    return ranked.mapInArrow(run, extended(held.select(*kept), sequence_id="long", offset="long"))
+    return with_computed(ranked, place, sequence_id="long", offset="long").drop("_rank")

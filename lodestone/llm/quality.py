@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, prepare, quoted
+from .common import prepare, with_computed
 from .ngrams import mix, owners, text_bytes, word_hashes
 
 #: log2 of the number of hashed features.
 BITS = 18
-#: At most so many labelled documents are learned from, chosen by a hash of their ids.
+#: At most so many labelled documents are learned from, chosen by a hash of their ids, and of these no more than have
+#: so many bytes of text together: the model's one task holds their features.
 TRAIN_ROWS = 6000
+TRAIN_BYTES = 96 << 20
 EPOCHS = 4
 #: A document's feature values add up to this.
 MASS = 40.0
@@ -76,9 +79,11 @@ def sigmoid(s: np.ndarray | float) -> np.ndarray | float:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights (2^BITS and a bias) learned from at most ``rows`` labelled documents.
 
-    The bounded sample is the ``rows`` labels least by a hash of their ids; one task learns from its documents in that
-    order, ``EPOCHS`` times. Labels that are null or no 0 or 1, and null ids, are left out. Without a usable row all
-    weights are zero.
+    The bounded sample is the ``rows`` labels least by a hash of their ids, and in that order as many documents as have
+    ``TRAIN_BYTES`` together (one at least); one task learns from them in that order, ``EPOCHS`` times. Labels that are
+    null or no 0 or 1, and null ids, are left out. Null texts are empty. Repeated labels of an id count as often as they
+    stand there, conflicting ones one after the other, 0 first; of a repeated doc_id every row is learned from with each
+    of its labels. Without a usable row all weights are zero. Other columns are ignored.
     """
     prepare(docs.sparkSession)
     order = F.xxhash64(F.col(id_col).cast("string"))
@@ -87,19 +92,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), "_id").select("_o", "_id", "_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+        seen, size = [], 0
         for b in batches:
-            for o, d, y, (i, x) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), sparse_rows(b.column(3)), strict=True):
-                i = np.append(i, 1 << BITS).astype(np.int32)
-                seen.append((o, str(d), y, len(i), i, np.append(x, 1.0).astype(np.float32)))
-        seen.sort(key=lambda r: r[:4])
+            lengths = pc.binary_length(b.column(3)).fill_null(0).to_pylist()
+            for y, n, (i, x) in zip(b.column(2).to_pylist(), lengths, sparse_rows(b.column(3)), strict=True):
+                size += n
+                if size <= TRAIN_BYTES or not seen:
+                    seen.append((y, np.append(i, 1 << BITS).astype(np.int32), np.append(x, 1.0).astype(np.float32)))
         model = Ftrl(1 << BITS)
         for _ in range(EPOCHS):
-            for *_, y, _, i, x in seen:
+            for y, i, x in seen:
                 model.learn(i, x, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], ["w"])
 
-    gathered = sample.repartition(1)  # a shuffle of the bounded sample; the scan before it stays parallel
+    gathered = sample.repartition(1).sortWithinPartitions("_o", "_id", "_y", F.xxhash64("_t"), "_t")  # a shuffle of the bounded sample
     found = gathered.mapInArrow(run, "w binary").collect()
     return np.frombuffer(found[0]["w"], "<f4") if found else np.zeros((1 << BITS) + 1, dtype="<f4")
 
@@ -111,19 +117,15 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(weights.astype(np.float64))
-    cols = [c for c in docs.columns if c.lower() != out.lower()]
-    at = cols.index(text_col)
+    at = [c for c in docs.columns if c.lower() != out.lower()].index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(b: pa.RecordBatch) -> list[pa.Array]:
         w = shared.value
-        for b in batches:
-            f, doc = features(b.column(at))
-            total = np.bincount(doc, weights=w[f], minlength=b.num_rows)
-            logit = w[-1] + MASS * total / np.maximum(1, np.bincount(doc, minlength=b.num_rows))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(logit))], [*b.schema.names, out])
+        f, doc = features(b.column(at))
+        total = np.bincount(doc, weights=w[f], minlength=b.num_rows)
+        return [pa.array(sigmoid(w[-1] + MASS * total / np.maximum(1, np.bincount(doc, minlength=b.num_rows))))]
 
-    narrow = docs.select(*[F.col(quoted(c)) for c in cols])
-    return narrow.mapInArrow(run, extended(narrow, **{out: "double"}))
+    return with_computed(docs, scores, **{out: "double"})
 
 
 def learn_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -69,7 +69,7 @@ def op9_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
