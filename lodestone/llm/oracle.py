@@ -14,7 +14,7 @@ SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
     CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
 FROM p JOIN f ON p.h = f.h"""
 
-RULES = r"""
+_RULES = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 win AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
@@ -24,6 +24,11 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
     CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (r)),
 b AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
     + CASE WHEN n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"""
+"""
 
-SQL = {"op1_threshold_topk": TOPK, "op2_warc_bundles": WARC, "op5_rule_ledger": RULES}
+RULES = _RULES + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits % 32 = 0 AS kept_v2, fail_bits FROM b"""
+
+ABLATIONS = _RULES + """, p(policy, mask) AS (VALUES ('base', 3), ('v1', 63), ('v2', 31)), q(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbol_share', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32))
+SELECT policy, rule, CAST(count(CASE WHEN fail_bits & bit <> 0 THEN 1 END) AS BIGINT) AS failed, CAST(count(CASE WHEN fail_bits & mask = bit THEN 1 END) AS BIGINT) AS failed_alone FROM p JOIN q ON mask & bit <> 0, b GROUP BY policy, rule"""
+
+SQL = {"op1_threshold_topk": TOPK, "op2_warc_bundles": WARC, "op5_rule_ledger": RULES, "rule_ablations": ABLATIONS}

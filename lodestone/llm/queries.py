@@ -35,15 +35,29 @@ def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, w).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.stored(rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), shared_folder(spark, "ledger"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = _ledger(spark, sf_dir)
     d = rules.apply_policy(rules.apply_policy(d, rules.Policy("v1")), rules.Policy("base"), "base_ok")
+    d = rules.apply_policy(d, rules.Policy("v2"), "v2_ok")
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~F.col("base_ok")).alias("base_failed"), (F.col("base_ok") & F.col("kept")).alias("kept"), "fail_bits",
+        (~F.col("base_ok")).alias("base_failed"), (F.col("base_ok") & F.col("kept")).alias("kept"), (F.col("base_ok") & F.col("v2_ok")).alias("kept_v2"), "fail_bits",
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and what it alone rejects, from one stored ledger."""
+    d, out = _ledger(spark, sf_dir), None
+    for name in rules.POLICIES:
+        part = rules.ablations(d, rules.Policy(name)).select(F.lit(name).alias("policy"), "rule", "failed", "failed_alone")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,7 +87,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_threshold_topk, op2_warc_bundles, op3_byte_shards, op4_ftrl_quality, op5_rule_ledger, op6_simhash_groups, op7_license_diagonals, op8_segment_tree_bpe, op9_complement_packing, op10_language_mixture)
+    found = (op1_threshold_topk, op2_warc_bundles, op3_byte_shards, op4_ftrl_quality, op5_rule_ledger, op6_simhash_groups, op7_license_diagonals, op8_segment_tree_bpe, op9_complement_packing, op10_language_mixture, rule_ablations)
     return {f.__name__: f for f in found}
 
 

@@ -1,4 +1,4 @@
-"""Quality rules as a bitmask ledger: measure once, then apply policies and ablations to the stored bits.
+"""Quality rules as a bitmask ledger: measure once, store, then apply policies and ablations to the stored bits.
 
 Everything here is built from DataFrame and SQL functions.
 """
@@ -32,6 +32,8 @@ RULES: dict[str, tuple[int, str]] = {
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbol_share", "duplicate_lines", "short_words", "long_words"),
+    # scripts that part no words by blanks have long ones
+    "v2": ("few_words", "repeated_windows", "symbol_share", "duplicate_lines", "short_words"),
 }
 
 
@@ -54,8 +56,10 @@ def _without(column: str, chars: str | tuple[str, ...]) -> F.Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text but with the measurements that the rules read.
 
-    A window of eight words is identified by a 64-bit hash built by doubling (1, 2, 4, 8 words). Only documents in
-    which a hash occurs twice sort their windows; positions of repeated windows are then merged into covered words.
+    Windows of eight words are found by a 64-bit hash built by doubling (1, 2, 4, 8 words). Only documents in which a
+    hash occurs twice sort their windows; neighbours of equal hash are then compared word by word. Should their words
+    differ, the document's windows are sorted by their words instead. Positions of repeated windows are merged into
+    covered words.
     Null text counts as empty. Each row stands alone, so nulls, ties and repeated rows in other columns do not matter;
     columns named like a measurement are replaced.
     """
@@ -82,19 +86,30 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.expr("array_remove(split(_s, ' ', -1), '')").alias("_w"),
     )
     now = [*kept, "n_symbols", "word_chars", "n_lines", "n_dup_lines"]
-    d = d.select(*now, F.size("_w").cast("long").alias("n_words"), F.expr("transform(_w, w -> xxhash64(w))").alias("_h"))
-    now.append("n_words")
+    d = d.select(*now, F.size("_w").cast("long").alias("n_words"), "_w", F.expr("transform(_w, w -> xxhash64(w))").alias("_h"))
+    now += ["n_words", "_w"]
     for step in (1, 2, 4):
         d = d.select(*now, F.expr(f"zip_with(_h, slice(_h, {step + 1}, size(_h)), (a, b) -> xxhash64(a, b))").alias("_h"))
     d = d.select(*now, F.expr(f"slice(_h, 1, greatest(size(_h) - {WINDOW - 1}, 0))").alias("_h"))
+    # windows as (hash, null, position), or as (null, words, position) where equal hashes have different words
+    differ = f"slice(_w, x.p + 1, {WINDOW}) != slice(_w, y.p + 1, {WINDOW})"
     d = d.select(
         *now,
         F.expr("""
             CASE WHEN size(array_distinct(_h)) < size(_h) THEN
-                sort_array(zip_with(_h, sequence(0, size(_h) - 1), (h, p) -> named_struct('h', h, 'p', p)))
+                sort_array(zip_with(_h, sequence(0, size(_h) - 1), (h, p) -> named_struct('h', h, 'w', CAST(NULL AS string), 'p', p)))
             END""").alias("_z"),
     )
-    d = d.select(*now, "_z", F.expr("zip_with(_z, slice(_z, 2, size(_z)), (x, y) -> coalesce(x.h = y.h, false))").alias("_e"))
+    d = d.select(*now, "_z", F.expr(f"exists(zip_with(_z, slice(_z, 2, size(_z)), (x, y) -> x.h = y.h AND {differ}), c -> c)").alias("_clash"))
+    d = d.select(
+        *now,
+        F.expr(f"""
+            CASE WHEN _clash THEN
+                sort_array(transform(_z, z -> named_struct('h', CAST(NULL AS bigint), 'w', array_join(slice(_w, z.p + 1, {WINDOW}), ' '), 'p', z.p)))
+            ELSE _z END""").alias("_z"),
+    )
+    now.remove("_w")
+    d = d.select(*now, "_z", F.expr("zip_with(_z, slice(_z, 2, size(_z)), (x, y) -> coalesce(x.h <=> y.h AND x.w <=> y.w AND y.p IS NOT NULL, false))").alias("_e"))
     d = d.select(
         *now,
         F.expr("""
@@ -111,17 +126,22 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Measurements and ``fail_bits``: bit b is set if the document fails the rule of bit b. Each rule runs once.
-
-    The bits start from a zero that counts as non-deterministic. A filter on them therefore stays above the ledger;
-    the optimizer would otherwise write the whole chain of measurements into the condition, again and again.
-    """
-    bits = F.spark_partition_id().bitwiseAND(F.lit(0)).cast("long")
+    """Measurements and ``fail_bits``: bit b is set if the document fails the rule of bit b. Each rule runs once."""
+    bits = F.lit(0).cast("long")
     for bit, condition in RULES.values():
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
     return measure(docs, text_col).withColumn("fail_bits", bits)
 
 
+def stored(entries: DataFrame, path: str) -> DataFrame:
+    """The ledger as it is read back from Parquet at ``path``, which policies and ablations then share.
+
+    A filter on the bits of a ledger that is not stored would make the optimizer repeat the measurements in its condition.
+    """
+    entries.write.parquet(path)
+    return entries.sparkSession.read.schema(entries.schema).parquet(path)
+
+
 def apply_policy(entries: DataFrame, policy: Policy, out: str = "kept") -> DataFrame:
     """``out`` is true where no rule of the policy failed."""
     return entries.withColumn(out, F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
@@ -130,7 +150,7 @@ def apply_policy(entries: DataFrame, policy: Policy, out: str = "kept") -> DataF
 def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
     """For each rule of the policy: how many documents fail it, and how many more would be kept without it.
 
-    The ledger shrinks to one row for each pattern of bits before any rule is looked at.
+    The ledger shrinks to one row for each pattern of bits before any rule is looked at; of an empty one no rows are left.
     """
     patterns = entries.groupBy("fail_bits").agg(F.count("*").alias("n"))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << RULES[r][0]).cast("long").alias("bit")) for r in POLICIES[policy.name]])

@@ -57,4 +57,4 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))

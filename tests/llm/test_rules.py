@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,6 +36,24 @@ def test_measurements_agree_with_brute_force(spark):
         assert {k: r[k] for k in brute(text)} == brute(text), text
 
 
+def test_windows_of_equal_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    """With a hash that maps everything to one value the words alone decide, also where equal ones do not stand together."""
+    real = F.expr
+    monkeypatch.setattr(rules.F, "expr", lambda s: real(re.sub(r"xxhash64\((\w)(, \w)?\)", "CAST(5 AS bigint)", s)))
+    rows = [(i, t) for i, t in enumerate(TEXTS) if t is None or len(t) < 10000]
+    for r in rules.ledger(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert {k: r[k] for k in brute(TEXTS[r["doc_id"]])} == brute(TEXTS[r["doc_id"]]), TEXTS[r["doc_id"]]
+
+
+def test_the_stored_ledger_serves_all_policies(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(50, "\u65e5\u672c\u8a9e" * 20 + " " + " ".join("\u6f22\u5b57" * 10 + str(i) for i in range(25)))]
+    inline = rules.ledger(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = rules.stored(inline, f"{tmp_path}/ledger")
+    assert held.schema.simpleString() == inline.schema.simpleString() and sorted(map(str, held.collect())) == sorted(map(str, inline.collect()))
+    kept = {p: {r["doc_id"] for r in rules.apply_policy(held, rules.Policy(p)).where("kept").collect()} for p in rules.POLICIES}
+    assert kept["v1"] <= kept["v2"] <= kept["base"] and 50 in kept["v2"] - kept["v1"]
+
+
 def test_policies_and_ablations(spark):
     texts = ["good " + " ".join(f"w{i}x" for i in range(40)), "short", "*** " * 5 + " ".join(f"v{i}x" for i in range(30)), "rep " * 60]
     entries = rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
@@ -53,8 +73,7 @@ def test_empty_table(spark):
 def test_columns_with_the_operators_own_names_survive(spark):
     names = ["_t", "_s", "_w", "_h", "_z", "_e", "_p", "_row", "_lines", "a`b c"]
     df = spark.createDataFrame([(*range(len(names)), "one two")], ", ".join(f"`{n.replace('`', '``')}` int" for n in names) + ", text string")
-    df = df.withColumnRenamed("a`b c", "a b")
     (r,) = rules.ledger(df).collect()
-    assert [r[n] for n in names[:-1]] == list(range(len(names) - 1)) and r["a b"] == len(names) - 1 and r["n_words"] == 2
+    assert [r[n] for n in names[:-1]] == list(range(len(names) - 1)) and r["a`b c"] == len(names) - 1 and r["n_words"] == 2
     (r,) = rules.ledger(df.select("text")).collect()
     assert r["n_words"] == 2
