@@ -3,7 +3,7 @@
 A bundle holds groups of records in independent Zstandard frames, then two skippable frames: the record map (record
 identifier, frame, offset inside the decompressed frame, length) and the seek table of the public seekable format
 (compressed and decompressed size of each frame), which ends the file. Any Zstandard reader can decompress a bundle; a
-reader that knows the footer fetches one record by decompressing one frame.
+reader that knows the footer fetches one record by reading the footer, the map and one frame (``fetch``).
 
 Bundles are written through Spark's text writer, whose output goes to any Hadoop file system under its commit protocol,
 so a lost executor leaves no half bundle. That writer ends each row with a line separator; the row lacks the bundle's
@@ -18,14 +18,14 @@ import hashlib
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import pinned, prepare
 
 #: Fixed values of the Zstandard and seekable formats.
 SKIPPABLE = 0x184D2A5E
@@ -42,19 +42,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}:{payload_digest}')}>"
+def record_id(page_id: int | None, payload_digest: str, nth: int = 0) -> str:
+    """The identifier of the record of a page and payload; ``nth`` numbers rows that agree in both."""
+    name = f"{page_id}:{payload_digest}" + (f":{nth}" if nth else "")
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> tuple[str, bytes]:
-    """Identifier and bytes of a response, or of a revisit that leaves the payload out."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, nth: int = 0) -> tuple[str, bytes]:
+    """Identifier and bytes of a response, or of a revisit that leaves the payload out. A null url has no header."""
     own = digest(payload)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(page_id, own),
+        "WARC-Record-ID": record_id(page_id, own, nth),
         "WARC-Date": _DATE,
-        "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        **({} if url is None else {"WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A")}),
         "WARC-Payload-Digest": f"sha1:{own}",
         "X-Page-ID": json.dumps(page_id),
         "X-Payload-Length": len(payload),
@@ -120,26 +122,45 @@ class BundleWriter:
 
 
 class BundleReader:
-    """Random access to the records of a bundle."""
+    """Random access to the records of a bundle, through a function that reads (position, length) of the file."""
 
-    def __init__(self, data: bytes):
-        count, _, magic = struct.unpack_from("<IBI", data, len(data) - 9)
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read, self.spans, at = read, [], 0
+        count, _, magic = struct.unpack("<IBI", read(size - 9, 9))
         if magic != SEEK_MAGIC:
             raise ValueError("no seek table")
-        self.data, self.spans, at = data, [], 0
-        for i in range(count):
-            packed, _ = struct.unpack_from("<II", data, len(data) - 9 - 8 * (count - i))
-            self.spans.append((at, at + packed))
+        for packed, _ in struct.iter_unpack("<II", read(size - 9 - 8 * count, 8 * count)):
+            self.spans.append((at, packed))
             at += packed
-        a, b = self.spans.pop()
-        if struct.unpack_from("<I", data, a)[0] != MAP_FRAME:
+        entries = read(*self.spans.pop())
+        if struct.unpack_from("<I", entries)[0] != MAP_FRAME:
             raise ValueError("no record map")
-        lines = zstandard.ZstdDecompressor().decompress(data[a + 8 : b]).decode().split("\n")
+        lines = zstandard.ZstdDecompressor().decompress(entries[8:]).decode().split("\n")
         self.map = [(r, int(f), int(o), int(n)) for r, f, o, n in (x.split("\t") for x in lines if x)]
 
+    @classmethod
+    def of_bytes(cls, data: bytes) -> BundleReader:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    @classmethod
+    def of_file(cls, spark: SparkSession, path: str) -> BundleReader:
+        """Of a file in any Hadoop file system; only the ranges asked for are read."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(conf)
+
+        def read(position: int, length: int) -> bytes:
+            stream = files.open(at)
+            try:
+                stream.seek(position)
+                return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+            finally:
+                stream.close()
+
+        return cls(read, files.getFileStatus(at).getLen())
+
     def frame(self, i: int) -> bytes:
-        a, b = self.spans[i]
-        return zstandard.ZstdDecompressor().decompress(self.data[a:b])
+        return zstandard.ZstdDecompressor().decompress(self.read(*self.spans[i]))
 
     def records(self, wanted: set[str] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
         """Headers and block of all records, or of those with the wanted identifiers; only their frames are opened."""
@@ -155,28 +176,31 @@ class BundleReader:
 
 
 def write_archive(pages: DataFrame, path: str, min_payload: int = 0, bundle_bytes: int = BUNDLE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write every row as a record into bundles below ``path``.
+    """Write every row as a record with an identifier of its own into bundles below ``path``.
 
     Of the rows whose payloads are equal and of ``min_payload`` bytes at least, those with the smallest id are
     responses and the others revisit them; smaller payloads are all responses. Null payloads count as empty, null ids
-    as larger than any other. Repeated rows are written as often as they occur. Which id a digest refers to is found
-    from narrow rows (digest, id); the payloads move once, dealt by id and digest.
+    as larger than any other. Repeated rows are written as often as they occur; those that agree in id and payload are
+    numbered. Which id a digest refers to is found from narrow rows (digest, id), of which adaptive execution may split
+    a common digest; the payloads move once, dealt by id and digest. An empty table makes an archive without records.
+    Other columns are ignored, whatever their names.
     """
     prepare(pages.sparkSession)
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha1"), F.length(body).alias("bytes"))
-    ids = rows.where(F.col("bytes") >= min_payload).select("id", "sha1")
+    rows = rows.withColumn("key", F.concat("sha1", F.coalesce(F.concat(F.lit(":"), F.col("id").cast("string")), F.lit(""))))
+    ids = rows.where(F.col("bytes") >= min_payload).select("id", "sha1", "key")
     first = ids.groupBy("sha1").agg(F.min("id").alias("first"), F.max(F.coalesce("id", F.lit(2**63 - 1))).alias("last")).where("first IS NOT NULL AND first < last").select("sha1", "first")
-    later = ids.join(first, "sha1").where("id IS NULL OR id > first").select(F.col("id").alias("r_id"), F.col("sha1").alias("r_sha1"), F.col("first").alias("refers_to")).distinct()
-    same = rows["id"].eqNullSafe(later["r_id"]) & (rows["sha1"] == later["r_sha1"])
-    told = rows.join(later, same, "left").select("id", "url", "body", "refers_to")
+    later = ids.join(pinned(first), "sha1").where("id IS NULL OR id > first").select("key", F.col("first").alias("refers_to")).distinct()
+    # a merge join leaves equal keys in one task, where the window numbers them as they come
+    told = rows.join(later.hint("merge"), "key", "left").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = BundleWriter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array([w.finish()[:-1]], pa.binary())], ["bundle"])
         for b in batches:
-            for i, url, payload, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w.add(*record(i, url, payload, refers, refers is not None))
+            for i, url, payload, refers, nth in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w.add(*record(i, url, payload, refers, refers is not None, nth))
                 if w.size >= bundle_bytes:
                     yield out()
                     w = BundleWriter()
@@ -184,15 +208,17 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, bundle_byte
             yield out()
 
     end = chr(SEEK_MAGIC >> 24)
-    files = told.mapInArrow(bundle, "bundle binary").select(F.col("bundle").cast("string").alias("value"))
+    files = told.select("id", "url", "body", "refers_to", "nth").mapInArrow(bundle, "bundle binary").select(F.col("bundle").cast("string").alias("value"))
     files.write.option("encoding", "ISO-8859-1").option("lineSep", end).option("maxRecordsPerFile", 1).text(path)
 
 
-def read_archive(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """The records of all bundles below ``path``, or those whose record_id is in ``wanted`` (found by the maps first).
+def read_archive(spark: SparkSession, path: str, wanted: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """The records of all bundles below ``path``, or those whose record_id is in ``wanted``.
 
     Columns: record_id, record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload (null for revisits).
-    A response's digest is computed anew and must equal its header.
+    A response's digest is computed anew and must equal its header. Wanted records are looked up in ``index`` (that of
+    ``archive_index``, which should be kept as a table, or else is made), and only the bundles that hold them are read;
+    the driver sees the paths of these. For a few records ``fetch`` reads less.
     """
     prepare(spark)
 
@@ -201,13 +227,13 @@ def read_archive(spark: SparkSession, path: str, wanted: DataFrame | None = None
             for k in range(b.num_rows):
                 ids = b.column("ids")[k].as_py() if "ids" in b.schema.names else None
                 out = []
-                for head, block in BundleReader(b.column("content")[k].as_py()).records(None if ids is None else set(ids)):
+                for head, block in BundleReader.of_bytes(b.column("content")[k].as_py()).records(None if ids is None else set(ids)):
                     kind, own = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
                     if payload is not None and digest(payload) != own:
                         raise ValueError(f"{head['WARC-Record-ID']}: the payload does not have its digest")
                     out.append({
-                        "record_id": head["WARC-Record-ID"], "record_type": kind, "page_id": json.loads(head["X-Page-ID"]), "url": head["WARC-Target-URI"],
+                        "record_id": head["WARC-Record-ID"], "record_type": kind, "page_id": json.loads(head["X-Page-ID"]), "url": head.get("WARC-Target-URI"),
                         "payload_bytes": len(payload) if payload is not None else int(head["X-Payload-Length"]), "payload_digest": own,
                         "refers_to": json.loads(head.get("X-Refers-To-Page", "null")), "payload": payload,
                     })
@@ -218,11 +244,20 @@ def read_archive(spark: SparkSession, path: str, wanted: DataFrame | None = None
 
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     fields = "record_id string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    files = spark.read.format("binaryFile").load(path)
     if wanted is None:
-        return files.select("content").mapInArrow(rows, fields)
-    ids = archive_index(spark, path).join(wanted.select("record_id").distinct(), "record_id", "left_semi").groupBy("path").agg(F.collect_list("record_id").alias("ids"))
-    return files.join(ids, "path").select("content", "ids").mapInArrow(rows, fields)
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, fields)
+    index = archive_index(spark, path) if index is None else index
+    ids = pinned(index.join(wanted.select("record_id").distinct(), "record_id", "left_semi").groupBy("path").agg(F.collect_list("record_id").alias("ids")))
+    paths = [r["path"] for r in ids.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], fields)
+    return spark.read.format("binaryFile").load(paths).join(ids, "path").select("content", "ids").mapInArrow(rows, fields)
+
+
+def fetch(spark: SparkSession, index: DataFrame, record_ids: Sequence[str]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of a few records: of each bundle that holds one, the footer, the map and the records' frames are read."""
+    for r in index.where(F.col("record_id").isin(list(record_ids))).groupBy("path").agg(F.collect_set("record_id").alias("ids")).orderBy("path").collect():
+        yield from BundleReader.of_file(spark, r["path"]).records(set(r["ids"]))
 
 
 def archive_index(spark: SparkSession, path: str) -> DataFrame:
@@ -232,7 +267,7 @@ def archive_index(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                m = BundleReader(data).map
+                m = BundleReader.of_bytes(data).map
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in m], pa.string()), pa.array([p] * len(m), pa.string()), *(pa.array([r[j] for r in m], pa.int64()) for j in (1, 2, 3))], ["record_id", "path", "frame", "offset", "length"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "record_id string, path string, frame long, offset long, length long")
