@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import prepare
 from .ngrams import mix, owners, text_bytes, word_hashes
 
 K = 3
+#: A template is voted for in parts of this many words, one bit for each word.
+PART = 62
 #: Diagonals of one template that lie this close together are one passage with words put in or left out.
 NEIGHBOURS = 3
 #: Share of a template's words that a passage must hold.
@@ -29,7 +32,7 @@ class Template:
     bars: str = ""  #: a word, and words of which none may follow it in the passage, since they name a sibling
 
 
-#: Fixed phrases of the contract, then the opening words of widespread licenses and their notices.
+#: Fixed phrases of the contract, then the opening words of widespread licenses and their notices, then whole licenses.
 TEMPLATES = (
     Template("mit", "under the mit license", True),
     Template("apache-2", "apache license version 2", True),
@@ -47,6 +50,7 @@ TEMPLATES = (
     Template("cc-by-nc", "this work is licensed under a creative commons attribution non commercial 4 0 international license", needs="commercial"),
     Template("cc-by-sa", "this work is licensed under a creative commons attribution share alike 4 0 international license", needs="alike"),
     Template("lgpl", "under the terms of the gnu library general public license as published by the free software foundation", needs="library"),
+    *(Template(label, text) for label, text in license_texts.WHOLE),
 )
 
 _NO_WORD = np.ones(256, dtype=bool)
@@ -82,17 +86,29 @@ def _kgrams(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.maximum(0, np.diff(bounds) - K + 1)
 
 
+def template_words(template: Template) -> list[str]:
+    return _words(pa.array([template.text]))[1].to_pylist()
+
+
 def template_table(spark, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """(gram, template, at): every k-gram of every template. Its size is that of the given templates."""
-    rows = [(_DOCUMENT, -1, 0)]
+    """(gram, template, at, start, words, needs, bar_at, bars): every k-gram of every template.
+
+    start and words are the part that the k-gram begins in, needs the part's words that the template needs, as bits.
+    The table's size is that of the given templates.
+    """
+    rows = [(_DOCUMENT, -1, 0, 0, None, 0, None, None)]
     for t, x in enumerate(templates):
-        n_words = len(x.text.split())
-        if not K <= n_words <= 62:
-            raise ValueError("a template has 3 to 62 words")
+        words, bars = template_words(x), x.bars.split()
+        if len(words) < K:
+            raise ValueError(f"a template has {K} words or more")
         hashes, _, bounds = _words(pa.array([x.text]))
         grams, n = _kgrams(hashes, bounds)
-        rows += [(int(g), t, j) for j, g in enumerate(grams[: n[0]].view(np.int64))]
-    return spark.createDataFrame(rows, "gram long, template int, at int")
+        for j, g in enumerate(grams[: n[0]].view(np.int64)):
+            start = j - j % PART
+            part = words[start : start + PART]
+            needs = sum(1 << i for i, w in enumerate(part) if w in x.needs.split())
+            rows.append((int(g), t, j, start, part, needs, words.index(bars[0]) if bars else None, bars))
+    return spark.createDataFrame(rows, "gram long, template int, at int, start int, t array<string>, needs long, bar_at int, bars array<string>")
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,14 +117,15 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (template, first, last,
     coverage). All k-gram hashes of a text join the template positions; each hit votes for the diagonal (position in
     the text less position in the template) and is verified there: the words of the text on that diagonal are compared
-    with the template's. Base templates count each diagonal on which all their words stand. For the others,
-    neighbouring diagonals are merged and count from ``COVERAGE`` of the template's words on, if they hold the words that
-    the template needs and none that it bars. score is the highest
-    coverage of a counted passage, else 0.
-
-    One row goes through the shuffle for each document and for each verified diagonal. Rows are told apart by id and
-    text; those that agree in both come out as often as they went in, which bitwise votes leave correct. Null texts are
-    empty, null ids stay null, an empty table gives no rows, other columns are ignored.
+    with those of the template's part that the hit lies in (templates of up to ``PART`` words have one part). Base
+    templates count each diagonal on which all their words stand. For the others, neighbouring diagonals are merged and
+    count from ``COVERAGE`` of the template's words on, if they hold the words that the template needs and none that it
+    bars. score is the highest coverage of a counted passage, else 0.
+
+    One row goes through the shuffle for each document and for each verified part of a diagonal. Rows are told apart by
+    id and text; those that agree in both come out as often as they went in, which bitwise votes leave correct. Texts
+    and templates may have any length. Null texts are empty, null ids stay null, an empty table gives no rows, other
+    columns are ignored.
     """
     spark = prepare(docs.sparkSession)
 
@@ -128,44 +145,49 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cut = docs.select(F.col(id_col).alias("doc_id"), F.sha1(text.cast("binary")).alias("text_hash"), text.alias("text"))
     cut = cut.mapInArrow(split, f"doc_id {kind}, text_hash string, words array<string>, grams array<long>")
-    all_words = F.array(*[F.array(*[F.lit(w) for w in t.text.split()]) for t in templates])
-    bars = F.array(*[F.array(*[F.lit(w) for w in t.bars.split()]).cast("array<string>") for t in templates])
     hits = (
         cut.select("doc_id", "text_hash", "words", F.posexplode("grams").alias("pos", "gram"))
         .join(F.broadcast(template_table(spark, templates)), "gram")
-        .select("doc_id", "text_hash", "words", "template", (F.col("pos") - 1 - F.col("at")).alias("diagonal"))
-        .withColumn("t", F.when(F.col("template") >= 0, F.get(all_words, F.col("template"))))
-        .withColumn("x", F.when(F.col("template") >= 0, F.get(bars, F.col("template"))))
-        .withColumn("bar_at", F.col("diagonal") + F.expr("CAST(array_position(t, get(x, 0)) AS INT)"))
+        .withColumn("diagonal", F.when(F.col("template") >= 0, F.col("pos") - 1 - F.col("at")).otherwise(0))
         .select(
-            "doc_id", "text_hash", "template",
-            F.when(F.col("template") >= 0, F.col("diagonal")).otherwise(0).alias("diagonal"),
+            "doc_id", "text_hash", "template", "start", "diagonal", "needs",
             F.when(F.col("template") < 0, F.size("words").cast("long")).alias("n_words"),
-            F.expr("coalesce(aggregate(transform(t, (w, i) -> IF(get(words, diagonal + i) <=> w, shiftleft(1L, i), 0L)), 0L, (s, x) -> s | x), 0L)").alias("mask"),
-            F.expr("coalesce(get(words, bar_at - 1) = get(x, 0) AND array_position(slice(x, 2, size(x)), get(words, bar_at)) > 0, false)").alias("barred"),
+            F.expr("coalesce(aggregate(transform(t, (w, i) -> IF(get(words, diagonal + start + i) <=> w, shiftleft(1L, i), 0L)), 0L, (s, x) -> s | x), 0L)").alias("mask"),
+            F.expr("coalesce(get(words, diagonal + bar_at) = get(bars, 0) AND array_position(slice(bars, 2, size(bars)), get(words, diagonal + bar_at + 1)) > 0, false)").alias("barred"),
         )
     )
     key = ["doc_id", "text_hash"]
-    votes = hits.repartition(*key).groupBy(*key, "template", "diagonal").agg(F.max("mask").alias("mask"), F.max("barred").alias("barred"), F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"))
-    w = Window.partitionBy(*key, "template").orderBy("diagonal")
+    votes = hits.repartition(*key).groupBy(*key, "template", "diagonal", "start").agg(
+        F.max("mask").alias("mask"), F.max("needs").alias("needs"), F.max("barred").alias("barred"), F.max("n_words").alias("n_words"), F.count("n_words").alias("copies")
+    )
+    w = Window.partitionBy(*key, "template").orderBy("diagonal", "start")
+    per = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("template"))
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(w) <= NEIGHBOURS, 0).otherwise(1)
-    size = F.get(F.array(*[F.lit(len(t.text.split())) for t in templates]), F.col("template"))
-    is_base = F.get(F.array(*[F.lit(t.base) for t in templates]), F.col("template"))
-    needs = F.get(F.array(*[F.lit(sum(1 << i for i, w in enumerate(t.text.split()) if w in t.needs.split())).cast("long") for t in templates]), F.col("template"))
-    label = F.get(F.array(*[F.lit(t.label) for t in templates]), F.col("template"))
-    clusters = (
+    size = per([len(template_words(t)) for t in templates])
+    needed = per([sum(x in t.needs.split() for x in template_words(t)) for t in templates])
+    is_base = per([t.base for t in templates])
+    label = per([t.label for t in templates])
+    on_diagonal = F.sum(F.bit_count("mask")).over(Window.partitionBy(*key, "template", "diagonal"))
+    parts = (
         votes.withColumn("apart", apart)
         .withColumn("passage", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("full", F.when(is_base & (F.bit_count("mask") == size), F.col("diagonal")))
-        .withColumn("lead", F.col("diagonal") + F.log2(F.col("mask").bitwiseAND(-F.col("mask")).cast("double")).cast("int"))
-        .groupBy(*key, "template", "passage")
+        .withColumn("full", F.when(is_base & (on_diagonal == size) & (F.col("start") == 0), F.col("diagonal")))
+        .withColumn("lead", F.col("diagonal") + F.col("start") + F.log2(F.col("mask").bitwiseAND(-F.col("mask")).cast("double")).cast("int"))
+        .groupBy(*key, "template", "passage", "start")
+        .agg(
+            F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.bit_or("mask").alias("mask"), F.max("needs").alias("needs"), F.max("barred").alias("barred"),
+            F.count("full").alias("n_base"), F.min("full").alias("first_full"), F.max("full").alias("last_full"), F.min("lead").alias("first"), F.max("diagonal").alias("last_diagonal"),
+        )
+    )
+    clusters = (
+        parts.groupBy(*key, "template", "passage")
         .agg(
-            F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.bit_or("mask").alias("mask"), F.max("barred").alias("barred"),
-            F.count("full").alias("n_base"), F.min("full").alias("first_full"), F.max("full").alias("last_full"),
-            F.min("lead").alias("first"), F.max("diagonal").alias("last_diagonal"),
+            F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.sum(F.bit_count("mask")).alias("n_match"), F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("needs")))).alias("n_needed"),
+            F.max("barred").alias("barred"), F.sum("n_base").alias("n_base"), F.min("first_full").alias("first_full"), F.max("last_full").alias("last_full"),
+            F.min("first").alias("first"), F.max("last_diagonal").alias("last_diagonal"),
         )
-        .withColumn("share", F.bit_count("mask") / size)
-        .withColumn("counts", F.when(F.col("template") < 0, False).when(is_base, F.col("n_base") > 0).otherwise((F.col("share") >= COVERAGE) & (F.col("mask").bitwiseAND(needs) == needs) & ~F.col("barred")))
+        .withColumn("share", F.col("n_match") / size)
+        .withColumn("counts", F.when(F.col("template") < 0, False).when(is_base, F.col("n_base") > 0).otherwise((F.col("share") >= COVERAGE) & (F.col("n_needed") == needed) & ~F.col("barred")))
     )
     base = F.col("counts") & is_base
     join = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, label))), ",")
