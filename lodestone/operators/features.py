@@ -47,10 +47,17 @@ def group_statistics(train: DataFrame, group: str, year: str) -> DataFrame:
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     """``fold`` in 0..k-1, round robin in the order of the keys' MD5 within each label.
 
-    A label class ends up in one window partition; where that is too large, ``hash_folds`` balances in expectation.
+    The first digits of the MD5 part each label into 4,096 pieces in that order. Rows are numbered within their piece,
+    from how many rows the pieces before it have, so no label gathers in one task.
     """
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    return df.withColumn("fold", (F.row_number().over(w) % k).cast("int"))
+    code = F.md5(F.col(key).cast("string").cast("binary"))
+    at = df.withColumns({"_code": code, "_piece": F.substring(code, 1, 3)})
+    before = Window.partitionBy(label).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(label, F.substring(code, 1, 3).alias("_piece")).agg(F.count("*").alias("_n"))
+    first = sizes.select(F.col(label).alias("_y"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy(label, "_piece").orderBy("_code", key))
+    placed = at.withColumn("_nth", nth).join(first, F.col(label).eqNullSafe(F.col("_y")) & (F.col("_piece") == F.col("_p")))
+    return placed.select(*df.columns, ((F.col("_first") + F.col("_nth")) % k).cast("int").alias("fold"))
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
@@ -210,13 +217,19 @@ def goodness(stats: DataFrame) -> DataFrame:
 
 
 def diagnostic_status(table: DataFrame) -> DataFrame:
-    """Status from goodness, permutation importance and mutual information ranks (.50/.35/.15); keep overrides drop."""
+    """Status from the ranks of goodness, permutation importance (not below 0) and the boosted model's gain.
+
+    Percentile ranks blend .50/.35/.15; absent importances and gains count 0. keep from .60 on or with an AUC drop of
+    .002 or more; drop_candidate without a drop and with less than the median goodness; else review.
+    """
     everything = Window.partitionBy()
 
     def pct(c: str) -> Column:
         return (F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2) / F.count("*").over(everything)
 
-    r = table.select("feature", "goodness", "permutation", F.round(0.50 * pct("goodness") + 0.35 * pct("permutation") + 0.15 * pct("mi"), 6).alias("score"))
+    full = table.select("feature", "goodness", F.coalesce("permutation", F.lit(0.0)).alias("permutation"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    full = full.withColumn("clipped", F.greatest("permutation", F.lit(0.0)))
+    r = full.select("*", F.round(0.50 * pct("goodness") + 0.35 * pct("clipped") + 0.15 * pct("gain"), 6).alias("score"))
     m = r.agg(F.median("goodness").alias("mg"))
     keep = (F.col("score") >= 0.60) | (F.col("permutation") >= 0.002)
-    return r.crossJoin(F.broadcast(m)).select("feature", "score", F.when(keep, "keep").when((F.col("permutation") <= 0) & (F.col("goodness") < F.col("mg")), "drop").otherwise("review").alias("status"))
+    return r.crossJoin(F.broadcast(m)).select("feature", "score", F.when(keep, "keep").when((F.col("permutation") <= 0) & (F.col("goodness") < F.col("mg")), "drop_candidate").otherwise("review").alias("status"))

@@ -24,9 +24,12 @@ class Report:
     def add(self, table: str, column: str | None, check: str, **metrics: object) -> None:
         self.rows += [(table, column, check, m, None if v is None else str(v)) for m, v in metrics.items()]
 
-    def add_frame(self, table: str, check: str, df: DataFrame, column: str = "column", most: int = 200) -> None:
-        """Rows of a small result; ``most`` bounds what reaches the driver."""
-        for r in df.limit(most).collect():
+    def add_frame(self, table: str, check: str, df: DataFrame, column: str = "column", most: int = 10_000) -> None:
+        """All rows of a small result; more than ``most`` are an error, as such a frame belongs in a table of its own."""
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{table}, {check}: over {most} rows, too many for a report")
+        for r in rows:
             d = r.asDict()
             self.add(table, d.pop(column, None), check, **d)
 

@@ -170,7 +170,7 @@ def five_numbers(df: DataFrame, column: str) -> DataFrame:
 
 
 def shift_status(psi: Column) -> Column:
-    return F.when(psi < 0.10, "stable").when(psi <= 0.25, "moderate_shift").otherwise("high_shift")
+    return F.when(psi < 0.10, "stable").when(psi < 0.25, "moderate_shift").otherwise("high_shift")
 
 
 def drift_table(train: DataFrame, other: DataFrame, columns: Sequence[str], name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import audit, features, quality, relate, stats
 from ..sources.files import usable_edges
 from . import tables as t
 from .registry import query
-from .tables import DIRTY, EDGES, MOVIES, with_sql
+from .tables import DIRTY, EDGES, MOVIES, NOTED, with_sql
 
 
 def _profile(c: str, src: str) -> str:
@@ -58,16 +58,16 @@ def aud_entropy_tokens(spark: SparkSession, d: str) -> DataFrame:
     return audit.entropy_tokens(t.movies(spark, d), "price_text")
 
 
-@query("""WITH ch AS (SELECT source, x, count(*) AS m, length(source) AS len FROM (SELECT source, unnest(string_split(source, '')) AS x FROM (SELECT DISTINCT source FROM documents)) GROUP BY ALL)
-SELECT source, abs(round(-sum(m / CAST(len AS DOUBLE) * log2(m / CAST(len AS DOUBLE))), 6)) AS bits FROM ch GROUP BY source""")
+@query("""WITH ch AS (SELECT doc_id, text, x, count(*) AS m, length(text) AS len FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS x FROM documents) GROUP BY ALL)
+SELECT doc_id, abs(round(-sum(m / CAST(len AS DOUBLE) * log2(m / CAST(len AS DOUBLE))), 6)) AS bits FROM ch GROUP BY doc_id""")
 def aud_char_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return t.documents(spark, d).select("source").distinct().select("source", F.round(text.entropy(F.col("source")), 6).alias("bits"))
+    return t.documents(spark, d).select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("bits"))
 
 
-@query(f"""WITH u AS (SELECT text AS t, {t.norm_sql('text')} AS u FROM documents)
+@query(with_sql(NOTED) + f""", u AS (SELECT text AS t, {t.norm_sql('text')} AS u FROM noted)
 SELECT CAST(count(CASE WHEN t <> u THEN 1 END) AS BIGINT) AS n_changed, CAST(count(DISTINCT t) AS BIGINT) AS n_distinct, CAST(count(DISTINCT u) AS BIGINT) AS n_distinct_normalised, CAST(min(length(t)) AS BIGINT) AS shortest, CAST(max(length(t)) AS BIGINT) AS longest FROM u""")
 def aud_normalisation(spark: SparkSession, d: str) -> DataFrame:
-    return audit.normalisation(t.documents(spark, d), "text")
+    return audit.normalisation(t.noted_documents(spark, d), "text")
 
 
 @query(with_sql(MOVIES) + """, q AS (SELECT quantile_cont(votes, 0.25) AS p25, quantile_cont(votes, 0.5) AS p50, quantile_cont(votes, 0.75) AS p75, avg(votes) AS mean, stddev_pop(votes) AS std, mad(votes) AS mad FROM movies)
@@ -97,21 +97,22 @@ def aud_extreme_values(spark: SparkSession, d: str) -> DataFrame:
     return audit.extreme_values(t.movies(spark, d), "votes", "k")
 
 
-_FP_U = t.tokens_sql(r"regexp_replace(strip_accents(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}_\s]', '', 'g')), '[^\x00-\x7F]', '', 'g')")
+_FP_U = t.tokens_sql(t.fold_sql(r"regexp_replace(lower(trim(text)), '[^\p{L}\p{N}_\s]', ' ', 'g')"))
 
 
-@query(f"""WITH d AS (SELECT text FROM documents UNION ALL SELECT lang || ' ' || source FROM documents UNION ALL SELECT source || ', ' || lang FROM documents)
+@query(with_sql(NOTED) + f""", d AS (SELECT text FROM noted UNION ALL SELECT lang || ' ' || source FROM documents UNION ALL SELECT source || '-' || lang FROM documents)
 SELECT fp, CAST(count(DISTINCT text) AS BIGINT) AS n_variants, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT text, {_FP_U} AS fp FROM d) WHERE fp <> '' GROUP BY fp HAVING count(DISTINCT text) > 1""")
 def aud_fingerprint_collisions(spark: SparkSession, d: str) -> DataFrame:
     docs = t.documents(spark, d)
-    made = docs.select(F.concat_ws(" ", "lang", "source").alias("text")).union(docs.select(F.concat("source", F.lit(", "), "lang")))
-    return audit.fingerprint_collisions(docs.select("text").union(made), "text")
+    made = docs.select(F.concat_ws(" ", "lang", "source").alias("text")).union(docs.select(F.concat("source", F.lit("-"), "lang")))
+    return audit.fingerprint_collisions(t.noted_documents(spark, d).select("text").union(made), "text")
 
 
-@query("""WITH g AS (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_suppkey, l_linenumber HAVING count(*) > 1)
+@query("""WITH g AS (SELECT count(*) AS c FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R') GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate HAVING count(*) > 1)
 SELECT CAST(count(*) AS BIGINT) AS n_groups, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_surplus FROM g""")
 def aud_exact_dups(spark: SparkSession, d: str) -> DataFrame:
-    return audit.exact_duplicates(t.lines(spark, d).select("l_orderkey", "l_suppkey", "l_linenumber"))
+    x = t.lines(spark, d)
+    return audit.exact_duplicates(x.union(x.where("l_returnflag = 'R'")))
 
 
 @query(with_sql(MOVIES) + r""", z AS (SELECT CASE WHEN yr IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS a, CASE WHEN price_text IN ('\N', '') THEN 1.0 ELSE 0.0 END::DOUBLE AS b, CASE WHEN k % 4 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS c FROM movies)
@@ -194,16 +195,17 @@ def m2m_collab(spark: SparkSession, d: str) -> DataFrame:
     return relate.members(t.people_edges(spark, d).join(t.movies(spark, d).where("y = 1").select("k"), "k"), "k", "s", 10)
 
 
-@query(with_sql(EDGES) + """, a AS (SELECT k, array_to_string(list_sort(list(DISTINCT s)), ',') AS s_list FROM pe GROUP BY k), b AS (SELECT k, array_to_string(list_sort(list(DISTINCT p)), ',') AS p_list FROM wp WHERE p % 2 = 0 GROUP BY k)
+@query(with_sql(EDGES) + """, a AS (SELECT k, array_to_string(list_sort(list(DISTINCT s)), ',') AS s_list FROM pe GROUP BY k), b AS (SELECT o_custkey AS k, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS p_list FROM orders GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, s_list, p_list FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def m2m_id_lists(spark: SparkSession, d: str) -> DataFrame:
-    return relate.id_lists(t.people_edges(spark, d), t.part_edges(spark, d).where("p % 2 = 0"), "k", "s", "p")
+    bought = t.read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("p"))
+    return relate.id_lists(t.people_edges(spark, d), bought, "k", "s", "p")
 
 
-@query(with_sql(EDGES) + """, a AS (SELECT DISTINCT k FROM pe WHERE s % 3 = 0), b AS (SELECT DISTINCT k FROM wp WHERE p % 3 = 0)
+@query(with_sql(EDGES) + """, a AS (SELECT DISTINCT k FROM pe), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS only_first, (SELECT count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)) AS only_second, (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS "both" """)
 def m2m_set_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return relate.pair_difference(t.people_edges(spark, d).where("s % 3 = 0").select("k"), t.part_edges(spark, d).where("p % 3 = 0").select("k"))
+    return relate.pair_difference(t.people_edges(spark, d).select("k"), t.read(spark, d, "orders").select(F.col("o_custkey").alias("k")))
 
 
 @query(with_sql(MOVIES, EDGES) + """, c AS (SELECT k, count(*) AS c FROM pe GROUP BY k)

@@ -10,7 +10,7 @@ from ..operators import audit, clean, quality
 from ..operators.contracts import TableContract, violations
 from . import tables as t
 from .registry import query
-from .tables import DIRTY, EDGES, MOVIES, PEOPLE, fingerprint_sql, norm_sql, with_sql
+from .tables import DIRTY, EDGES, MOVIES, NOTED, PEOPLE, fingerprint_sql, norm_sql, with_sql
 
 
 @query(with_sql(MOVIES, EDGES) + r"""
@@ -64,14 +64,14 @@ def cln_apply_schema(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("a").cast("long").alias("k"), "flag", F.col("price_text").alias("price"))
 
 
-@query(f"SELECT doc_id, nullif({norm_sql('text')}, '') AS norm FROM documents")
+@query(with_sql(NOTED) + f"SELECT doc_id, nullif({norm_sql('text')}, '') AS norm FROM noted")
 def cln_text_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return t.documents(spark, d).select("doc_id", text.normalize(F.col("text")).alias("norm"))
+    return t.noted_documents(spark, d).select("doc_id", text.normalize(F.col("text")).alias("norm"))
 
 
-@query(f"SELECT doc_id, {fingerprint_sql('text')} AS fp FROM documents")
+@query(with_sql(NOTED) + f"SELECT doc_id, {fingerprint_sql('text')} AS fp FROM noted")
 def cln_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return t.documents(spark, d).select("doc_id", text.fingerprint(F.col("text")).alias("fp"))
+    return t.noted_documents(spark, d).select("doc_id", text.fingerprint(F.col("text")).alias("fp"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS canonical, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title_key, regexp_matches(text, '[^\x00-\x7F]') AS non_ascii FROM documents")
@@ -185,10 +185,10 @@ def dq_ranges(spark: SparkSession, d: str) -> DataFrame:
     return quality.out_of_range(t.movies(spark, d), _BOUNDS)
 
 
-@query(f"""SELECT 'text' AS "column", CAST(count(CASE WHEN {norm_sql('text')} <> text THEN 1 END) AS BIGINT) AS n_changed, CAST(count(text) AS BIGINT) AS n, round(100.0 * count(CASE WHEN {norm_sql('text')} <> text THEN 1 END) / count(text), 4) AS pct FROM documents
-UNION ALL SELECT 'source', CAST(count(CASE WHEN {norm_sql('source')} <> source THEN 1 END) AS BIGINT), CAST(count(source) AS BIGINT), round(100.0 * count(CASE WHEN {norm_sql('source')} <> source THEN 1 END) / count(source), 4) FROM documents""")
+@query(with_sql(NOTED) + f"""SELECT 'text' AS "column", CAST(count(CASE WHEN {norm_sql('text')} <> text THEN 1 END) AS BIGINT) AS n_changed, CAST(count(text) AS BIGINT) AS n, round(100.0 * count(CASE WHEN {norm_sql('text')} <> text THEN 1 END) / count(text), 4) AS pct FROM noted
+UNION ALL SELECT 'source', CAST(count(CASE WHEN {norm_sql('source')} <> source THEN 1 END) AS BIGINT), CAST(count(source) AS BIGINT), round(100.0 * count(CASE WHEN {norm_sql('source')} <> source THEN 1 END) / count(source), 4) FROM noted""")
 def dq_text_corruption(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_corruption(t.documents(spark, d), ("text", "source"))
+    return quality.text_corruption(t.noted_documents(spark, d), ("text", "source"))
 
 
 @query(with_sql(MOVIES) + r"""SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN price IS NULL THEN 1 END) AS BIGINT) AS n_null, CAST(count(CASE WHEN price < 0 THEN 1 END) AS BIGINT) AS n_negative, CAST(count(*) - count(DISTINCT k) AS BIGINT) AS n_duplicates
@@ -239,9 +239,9 @@ def chk_missing_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_sql(MOVIES, EDGES) + """SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT k) AS BIGINT) AS n_keys, CAST(count(*) - count(DISTINCT k) AS BIGINT) AS surplus,
-CASE WHEN count(*) = count(DISTINCT k) THEN 'ok' WHEN count(*) - count(DISTINCT k) < 0.01 * count(*) THEN 'warn' ELSE 'fail' END AS status FROM (SELECT m.k, m.split FROM movies m LEFT JOIN (SELECT DISTINCT k, s FROM pe WHERE s % 50 = 0) e ON m.k = e.k) GROUP BY split""")
+CASE WHEN count(*) = count(DISTINCT k) THEN 'ok' WHEN count(*) - count(DISTINCT k) < 0.01 * count(*) THEN 'warn' ELSE 'fail' END AS status FROM (SELECT m.k, m.split FROM movies m LEFT JOIN (SELECT DISTINCT k, s FROM pe) e ON m.k = e.k) GROUP BY split""")
 def chk_fanout(spark: SparkSession, d: str) -> DataFrame:
-    e = t.people_edges(spark, d).where("s % 50 = 0").distinct()
+    e = t.people_edges(spark, d).distinct()
     return quality.fanout(t.movies(spark, d).join(e, "k", "left"), "k", "split")
 
 

@@ -109,9 +109,10 @@ def fea_token_bag(spark: SparkSession, d: str) -> DataFrame:
     return features.token_bag([(t.people_edges(spark, d), "s", "person"), (t.part_edges(spark, d), "p", "part")], "k")
 
 
-_TFIDF = r"""WITH d AS (SELECT p_partkey AS k, lower(p_name || ' ' || p_brand || ' ' || p_type) AS x, p_size % 2 AS y FROM part), w AS (SELECT k, regexp_extract_all(x, '(\w\w+)', 1) AS w FROM d),
+def _tfidf(most: int) -> str:
+    return rf"""WITH d AS (SELECT p_partkey AS k, lower(p_name || ' ' || p_brand || ' ' || p_type) AS x, p_size % 2 AS y FROM part), w AS (SELECT k, regexp_extract_all(x, '(\w\w+)', 1) AS w FROM d),
 tm AS (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT k, term, count(*) AS tf FROM tm GROUP BY ALL),
-v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 200), n AS (SELECT count(*) AS n FROM d),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT {most}), n AS (SELECT count(*) AS n FROM d),
 raw AS (SELECT k, tf.term, tf * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN v ON tf.term = v.term, n), nm AS (SELECT k, sqrt(sum(w * w)) AS nm FROM raw GROUP BY k), u AS (SELECT raw.k, term, w / nm AS w FROM raw JOIN nm ON raw.k = nm.k)"""
 
 
@@ -119,19 +120,19 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("x"), (F.col("p_size") % 2).alias("y"))
 
 
-@query(_TFIDF + " SELECT k, term, round(w, 6) AS w FROM u")
+@query(_tfidf(5000) + " SELECT k, term, round(w, 6) AS w FROM u")
 def fea_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return features.tfidf(_titles(spark, d), "k", "x", 200).withColumn("w", F.round("w", 6))
+    return features.tfidf(_titles(spark, d), "k", "x", 5000).withColumn("w", F.round("w", 6))
 
 
 _CENTROID = """, c AS (SELECT y, term, sum(w) AS s FROM u JOIN d ON u.k = d.k GROUP BY y, term), cn AS (SELECT y, sqrt(sum(s * s)) AS nm FROM c GROUP BY y), cs AS (SELECT u.k, c.y, sum(w * s) / max(nm) AS cos FROM u JOIN c ON u.term = c.term JOIN cn ON cn.y = c.y GROUP BY u.k, c.y)
 SELECT d.k, round(coalesce(a.cos, 0), 6) AS sim_1, round(coalesce(b.cos, 0), 6) AS sim_0, round(coalesce(a.cos, 0) - coalesce(b.cos, 0), 6) AS margin FROM d LEFT JOIN cs a ON a.k = d.k AND a.y = 1 LEFT JOIN cs b ON b.k = d.k AND b.y = 0"""
 
 
-@query(_TFIDF + _CENTROID)
+@query(_tfidf(5000) + _CENTROID)
 def fea_tfidf_centroid(spark: SparkSession, d: str) -> DataFrame:
     x = _titles(spark, d)
-    return features.centroid_similarity(features.tfidf(x, "k", "x", 200), x, x, "k", "y")
+    return features.centroid_similarity(features.tfidf(x, "k", "x", 5000), x, x, "k", "y")
 
 
 _CENTROID_OOF = """, f AS (SELECT k, y, k % 3 AS fold FROM d), sf AS (SELECT y, fold, term, sum(w) AS s FROM u JOIN f ON u.k = f.k GROUP BY ALL), tt AS (SELECT y, term, sum(s) AS t FROM sf GROUP BY ALL),
@@ -140,10 +141,10 @@ cs AS (SELECT u.k, c.y, sum(w * s) / max(nm) AS cos FROM u JOIN f ON f.k = u.k J
 SELECT f.k, round(coalesce(a.cos, 0), 6) AS sim_1, round(coalesce(b.cos, 0), 6) AS sim_0, round(coalesce(a.cos, 0) - coalesce(b.cos, 0), 6) AS margin FROM f LEFT JOIN cs a ON a.k = f.k AND a.y = 1 LEFT JOIN cs b ON b.k = f.k AND b.y = 0"""
 
 
-@query(_TFIDF + _CENTROID_OOF)
+@query(_tfidf(800) + _CENTROID_OOF)
 def fea_tfidf_centroid_oof(spark: SparkSession, d: str) -> DataFrame:
     x = _titles(spark, d).withColumn("fold", (F.col("k") % 3).cast("int"))
-    return features.centroid_similarity(features.tfidf(x, "k", "x", 200), x, x, "k", "y", "fold")
+    return features.centroid_similarity(features.tfidf(x, "k", "x", 800), x, x, "k", "y", "fold")
 
 
 def _psi_a(c: str, other: str) -> str:
@@ -238,7 +239,7 @@ def sta_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drift(c: str) -> str:
-    return f"""SELECT '{c}' AS "column", 'val' AS against, psi, (SELECT round(max(abs(gap)), 6) FROM s_{c}) AS ks, (SELECT round(avg({c}), 4) FROM movies WHERE split = 'train') AS mean_train, (SELECT round(avg({c}), 4) FROM movies WHERE split = 'val') AS mean_other, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi <= 0.25 THEN 'moderate_shift' ELSE 'high_shift' END AS status FROM psi_{c}_val"""
+    return f"""SELECT '{c}' AS "column", 'val' AS against, psi, (SELECT round(max(abs(gap)), 6) FROM s_{c}) AS ks, (SELECT round(avg({c}), 4) FROM movies WHERE split = 'train') AS mean_train, (SELECT round(avg({c}), 4) FROM movies WHERE split = 'val') AS mean_other, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate_shift' ELSE 'high_shift' END AS status FROM psi_{c}_val"""
 
 
 def _named_steps(c: str) -> str:

@@ -78,13 +78,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
+#: Texts with letters beyond the tables' alphabet: ligatures, full width, fractions, hyphens, other scripts.
+NOTES = ((-1, "The semi-final: \ufb01lm \u2122 \uff21 \u00bd \u21167"), (-2, "Stra\u00dfe na\u00efve\u2014caf\u00e9\u2026 \ufb00"), (-3, "final semi"), (-4, "semi-final"), (-5, "\u65e5\u672c \u0130 \u212a"), (-6, "\u2460\u3000e\u0301x"))
+
+
+def noted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and the notes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return docs.unionByName(spark.createDataFrame([(i, x, "en", "note") for i, x in NOTES], docs.schema))
+
+
+NOTED = "noted AS (SELECT doc_id, text, lang, source FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}', 'en', 'note')" for i, x in NOTES) + ") v(doc_id, text, lang, source))"
+
+
 def with_sql(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
-#: The steps of text normalisation in SQL, around a column.
+#: What the notes' letters decompose to beyond their accents.
+_PARTS = {"\ufb01": "fi", "\u2122": "TM", "\uff21": "A", "\uff41": "a", "\u00bd": "12", "\u2116": "No", "\u2026": "...", "\ufb00": "ff", "\u212a": "K", "\u2460": "1", "\u3000": " "}
+
+
+def fold_sql(c: str) -> str:
+    """The ASCII part of the compatibility decomposition of the tables' and the notes' letters."""
+    for a, b in _PARTS.items():
+        c = f"replace({c}, '{a}', '{b}')"
+    return rf"regexp_replace(strip_accents({c}), '[^\x00-\x7F]', '', 'g')"
+
+
 def norm_sql(c: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents({c}), '[^\x00-\x7F]', '', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+    """The steps of text normalisation around a column."""
+    return rf"trim(regexp_replace(regexp_replace({fold_sql(c)}, '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def tokens_sql(c: str) -> str:
@@ -93,4 +117,4 @@ def tokens_sql(c: str) -> str:
 
 
 def fingerprint_sql(c: str) -> str:
-    return tokens_sql(rf"regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\x00-\x7F]', '', 'g'), '[^\w\s]', '', 'g')")
+    return tokens_sql(rf"regexp_replace(lower({fold_sql(c)}), '[^\w\s]', ' ', 'g')")

@@ -1,5 +1,6 @@
 """Operators on small frames whose results are known by hand."""
 
+import unicodedata
 import json
 import math
 
@@ -29,7 +30,12 @@ def test_keys_and_fold(spark):
     assert one(spark, text.fingerprint, "World the") == one(spark, text.fingerprint, "The, world") == "the world"
     assert one(spark, text.fingerprint_unicode, "É, b a") == "a b e"
     assert one(spark, text.canonical_key, " Ab,  C9! ") == "ab c9" and one(spark, text.title_key, "Ab--C") == "ab c"
-    assert one(spark, text.fold_exact, "ﬁé漢") == "fie" and one(spark, text.has_non_ascii, "é") is True
+    for t in ("ﬁé漢", "ﬁlm ™ Ａ ½", "№ ⅓ ㎏…", "\U0001d400\U0001f100", "x\u0301", "\u3000\xa0", "plain", "", "İKß", "①②⑩㍿"):
+        assert one(spark, text.fold, t) == unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), t
+    assert one(spark, text.has_non_ascii, "é") is True
+    assert one(spark, text.fingerprint, "Semi-final") == one(spark, text.fingerprint_unicode, "semi-final") == "final semi"
+    assert one(spark, text.fingerprint, None) == one(spark, text.fingerprint_unicode, None) == ""
+    assert one(spark, text.fingerprint_unicode, "a™b ½x") == "12x a b" and one(spark, text.fingerprint, "a™b ½x") == "12x atmb"
     assert one(spark, text.word_count, "  a b\tc ") == 3 and one(spark, text.word_count, "") == 0
 
 
