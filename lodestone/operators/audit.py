@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cast, text
+from . import ordered
 from .quality import melt, share
 
 _ID = r"^[a-zA-Z]{1,4}\d+$"
@@ -76,13 +77,13 @@ def normalisation(df: DataFrame, column: str) -> DataFrame:
 def robust_statistics(df: DataFrame, column: str, iqr_k: float = 1.5, mad_k: float = 3.0) -> DataFrame:
     """Quartiles, MAD, both fences and what lies outside, mean and population deviation.
 
-    Medians are exact; the one-row summary joins back to the column, so nothing gathers in a single window.
+    Medians are exact; the one-row summary joins back to the column, so nothing gathers in a single task.
     """
     v = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    q = v.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    q = v.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).crossJoin(F.broadcast(ordered.quantiles(v, {"q": F.col("v")}, (0.25, 0.5, 0.75))))
     q = q.select(F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "mean", "std")
-    mad = v.crossJoin(F.broadcast(q)).agg(F.median(F.abs(F.col("v") - F.col("p50"))).alias("mad"))
-    s = q.crossJoin(mad)
+    mad = ordered.quantiles(v.crossJoin(F.broadcast(q)), {"m": F.abs(F.col("v") - F.col("p50"))}, (0.5,)).select(F.col("m")[0].alias("mad"))
+    s = q.crossJoin(F.broadcast(mad))
     iqr = F.col("p75") - F.col("p25")
     out = v.crossJoin(F.broadcast(s)).groupBy(*s.columns).agg(
         F.count("*").alias("n"),
@@ -96,7 +97,7 @@ def trimmed_means(df: DataFrame, column: str, shares: Sequence[float] = (0.05, 0
     """Means of what lies between the quantiles alpha and 1 - alpha."""
     v = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     points = [p for a in shares for p in (a, 1 - a)]
-    q = v.agg(F.percentile("v", F.array(*[F.lit(p) for p in points])).alias("q"))
+    q = ordered.quantiles(v, {"q": F.col("v")}, points)
     inside = [F.avg(F.when(F.col("v").between(F.col("q")[2 * i], F.col("q")[2 * i + 1]), F.col("v"))) for i in range(len(shares))]
     rows = F.array(*[F.struct(F.lit(a).alias("alpha"), F.round(m, 4).alias("trimmed_mean")) for a, m in zip(shares, inside, strict=True)])
     return v.crossJoin(F.broadcast(q)).agg(rows.alias("x")).select(F.explode("x").alias("x")).select("x.*")
@@ -108,16 +109,15 @@ def rank_trimmed_mean(df: DataFrame, column: str, alpha: float = 0.05) -> DataFr
     Equal values are interchangeable, so ranks come from counts by value: the global order runs over distinct values.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     total = counts.agg(F.sum("c").alias("n")).withColumn("cut", F.greatest(F.ceil(F.col("n") * alpha), F.lit(1)))
-    r = counts.withColumn("upto", below).crossJoin(F.broadcast(total))
+    r = ordered.running(counts, "v", ["c"]).withColumnRenamed("c_upto", "upto").crossJoin(F.broadcast(total))
     kept = F.greatest(F.least(F.col("upto"), F.col("n") - F.col("cut")) - F.greatest(F.col("upto") - F.col("c"), F.col("cut")), F.lit(0))
     return r.agg(F.round(F.try_divide(F.sum(kept * F.col("v")), F.sum(kept)), 4).alias("trimmed_mean"), F.sum(kept).alias("n_kept"))
 
 
 def extreme_values(df: DataFrame, column: str, key: str, n: int = 5) -> DataFrame:
     """The ``n`` values furthest from the median."""
-    m = df.agg(F.median(column).alias("m"))
+    m = ordered.quantiles(df, {"m": F.col(column)}, (0.5,)).select(F.col("m")[0].alias("m"))
     d = df.select(key, column).crossJoin(F.broadcast(m)).withColumn("distance", F.round(F.abs(F.col(column) - F.col("m")), 4))
     return d.orderBy(F.desc("distance"), F.asc(column), F.asc(key)).limit(n).select(key, column, "distance")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cast, text
+from . import ordered
 from .quality import melt, share
 
 
@@ -45,8 +46,10 @@ def centers(tokens: DataFrame, aggregate: DataFrame, key: str, numbers: Sequence
     d = tokens.join(aggregate.select(key, *[F.col(f"{c}_direct") for c in numbers]), key)
     scaled = {c: F.log1p(F.greatest(F.col(f"{c}_direct"), F.lit(0.0))) if c in log_scaled else F.col(f"{c}_direct") for c in numbers}
     d = d.select("token", key, *[F.when(F.col(f"{c}_direct").isNotNull(), x).alias(c) for c, x in scaled.items()])
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    out = d.groupBy("token").agg(F.count_distinct(key).alias("n_entities"), *[F.percentile(c, q).alias(c) for c in numbers])
+    long = d.select("token", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in numbers])).alias("x")).select("token", "x.*")
+    q = ordered.group_quantiles(long, ["token", "field"], F.col("v"), (0.25, 0.5, 0.75))
+    q = q.groupBy("token").agg(*[F.max(F.when(F.col("field") == c, F.col("q"))).alias(c) for c in numbers])
+    out = d.groupBy("token").agg(F.count_distinct(key).alias("n_entities")).join(q, "token", "left")
     mid = {c: F.expm1(F.col(c)[1]) if c in log_scaled else F.col(c)[1] for c in numbers}
     return out.select("token", "n_entities", *[m.alias(f"median_{c}") for c, m in mid.items()], *[(F.col(c)[2] - F.col(c)[0]).alias(f"iqr_{c}") for c in numbers])
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ordered
 
 
 def lexical(c: Column) -> dict[str, Column]:
@@ -109,7 +110,7 @@ class QuantileCap:
 
     @staticmethod
     def fit(train: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> QuantileCap:
-        row = train.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
+        row = ordered.quantiles(train, {c: F.col(c) for c in columns}, (low, high)).first()
         return QuantileCap({c: (row[c][0], row[c][1]) for c in columns if row[c] and row[c][0] is not None})
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
@@ -139,10 +140,13 @@ class FeaturePlan:
     def fit(train: DataFrame, rules: Sequence[FeatureRule]) -> FeaturePlan:
         have = [r for r in rules if r.name in train.columns and r.action != "drop"]
         caps = QuantileCap.fit(train, [r.name for r in have if r.cap]) if any(r.cap for r in have) else QuantileCap({})
-        how = {"median": lambda c: F.percentile(F.col(c).cast("double"), 0.5), "mean": lambda c: F.avg(c), "zero": lambda c: F.lit(0.0)}
-        asked = [r for r in have if r.fill != "none"]
-        row = caps.transform(train).agg(*[F.coalesce(how[r.fill](r.name), F.lit(0.0)).alias(r.name) for r in asked]).first() if asked else {}
-        return FeaturePlan(tuple(rules), caps, {r.name: float(row[r.name]) for r in asked})
+        fills = {r.name: 0.0 for r in have if r.fill != "none"}
+        capped = caps.transform(train)
+        if means := [r.name for r in have if r.fill == "mean"]:
+            fills |= {c: float(v) for c, v in capped.agg(*[F.avg(c).alias(c) for c in means]).first().asDict().items() if v is not None}
+        if medians := [r.name for r in have if r.fill == "median"]:
+            fills |= {c: float(v[0]) for c, v in ordered.quantiles(capped, {c: F.col(c) for c in medians}, (0.5,)).first().asDict().items() if v is not None}
+        return FeaturePlan(tuple(rules), caps, fills)
 
     def transform(self, df: DataFrame) -> DataFrame:
         gone = [r.name for r in self.rules if r.action == "drop"]

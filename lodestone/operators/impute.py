@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 @dataclass(frozen=True)
 class ConstantFill:
@@ -17,8 +19,10 @@ class ConstantFill:
     @staticmethod
     def fit(train: DataFrame, columns: Sequence[str], how: str = "median") -> ConstantFill:
         """Exact medians or means of the training rows (0 without any)."""
-        f = {"median": lambda c: F.percentile(F.col(c).cast("double"), 0.5), "mean": lambda c: F.avg(F.col(c).cast("double"))}[how]
-        row = train.agg(*[f(c).alias(c) for c in columns]).first()
+        if how == "median":
+            row = {c: q and q[0] for c, q in ordered.quantiles(train, {c: F.col(c) for c in columns}, (0.5,)).first().asDict().items()}
+        else:
+            row = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
         return ConstantFill({c: float(row[c]) if row[c] is not None else 0.0 for c in columns})
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -30,19 +34,19 @@ class ChainedImputer:
     """Round-robin ridge regressions of each column on the others, started from the means.
 
     A sweep's moments come from one aggregation over the table, whatever its size; the small systems are solved on the
-    driver. ``transform`` replays the fitted sweeps as column arithmetic. Observed values never change.
+    driver. ``transform`` replays the fitted sweeps in order. Observed values never change.
     """
 
     columns: tuple[str, ...]
     start: dict[str, float]
-    steps: tuple[tuple[str, tuple[float, ...]], ...]  #: target, intercept and slopes (other columns in order)
+    steps: tuple[tuple[tuple[str, tuple[float, ...]], ...], ...]  #: per sweep: target, intercept and slopes (other columns in order)
     rounded: tuple[str, ...] = ()
 
     @staticmethod
     def fit(train: DataFrame, columns: Sequence[str], sweeps: int = 10, ridge: float = 1e-3, tolerance: float = 1e-3, rounded: Sequence[str] = ()) -> ChainedImputer:
         cols = list(columns)
         start = ConstantFill.fit(train, cols, "mean").values
-        steps: list[tuple[str, tuple[float, ...]]] = []
+        steps: list[tuple[tuple[str, tuple[float, ...]], ...]] = []
         last = None
         for _ in range(sweeps):
             model = ChainedImputer(tuple(cols), start, tuple(steps))
@@ -68,21 +72,30 @@ class ChainedImputer:
                     continue
                 penalty = np.diag([0.0, *(ridge * np.maximum(np.diag(a)[1:], 1e-12))])
                 now.append((t, tuple(np.linalg.lstsq(a + penalty, b, rcond=None)[0].tolist())))
-            steps = now
+            steps.append(tuple(now))
             if last is not None and max(abs(p - q) / (1e-9 + abs(q)) for (_, u), (_, v) in zip(now, last, strict=True) for p, q in zip(u, v, strict=True)) < tolerance:
                 break
             last = now
         return ChainedImputer(tuple(cols), start, tuple(steps), tuple(rounded))
 
     def _replay(self, df: DataFrame) -> DataFrame:
-        out = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.start[c])) for c in self.columns})
-        for _ in range(2 if self.steps else 0):
-            for t, (base, *slopes) in self.steps:
-                guess: Column = F.lit(float(base))
-                for c, s in zip([c for c in self.columns if c != t], slopes, strict=True):
-                    guess = guess + F.lit(float(s)) * F.col(f"_f_{c}")
-                out = out.withColumn(f"_f_{t}", F.coalesce(F.col(t).cast("double"), guess))
-        return out
+        """``df`` with ``_f_<column>``: all fitted sweeps in order, as one fold over their coefficients."""
+        known = F.array(*[F.col(c).isNotNull() for c in self.columns])
+        state = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(self.start[c])) for c in self.columns])
+        out = df.withColumns({"_known": known, "_state": state})
+        if self.steps:
+            rows = []
+            for t, (base, *slopes) in (step for sweep in self.steps for step in sweep):
+                own = self.columns.index(t)
+                weights = [*slopes[:own], 0.0, *slopes[own:]]
+                rows.append(F.struct(F.lit(own).alias("t"), F.lit(float(base)).alias("base"), F.array(*[F.lit(float(w)) for w in weights]).alias("w")))
+
+            def step(s: Column, p: Column) -> Column:
+                guess = F.aggregate(F.zip_with(s, p["w"], lambda u, w: u * w), p["base"], lambda a, z: a + z)
+                return F.transform(s, lambda x, i: F.when((i == p["t"]) & ~F.get("_known", i), guess).otherwise(x))
+
+            out = out.withColumn("_state", F.aggregate(F.array(*rows), F.col("_state"), step))
+        return out.withColumns({f"_f_{c}": F.get("_state", F.lit(i)) for i, c in enumerate(self.columns)}).drop("_known", "_state")
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self._replay(df)

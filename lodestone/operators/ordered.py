@@ -1,0 +1,74 @@
+"""Running sums and exact quantiles over a global order, without a task that sees the whole order.
+
+Values are counted first. Approximate quantiles of the distinct values part them into pieces of about equal size, in
+order; a window runs within each piece, and the pieces' totals, of which there are at most 256 for each group, carry the
+sums over. The parting decides only where work is done: results are exact.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+_WIDE = 16  # pieces are found in two steps of this many
+
+
+def _parted(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` with the piece that its value lies in."""
+    n = _WIDE * _WIDE
+    v = F.col(value).cast("double")
+    bounds = counts.agg(F.percentile_approx(v, [i / n for i in range(1, n)], 2000).alias("_bounds"))
+    bounds = bounds.withColumn("_coarse", F.array(*[F.col("_bounds")[i * _WIDE - 1] for i in range(1, _WIDE)]))
+    at = counts.crossJoin(F.broadcast(bounds)).withColumn("_cell", F.size(F.filter("_coarse", lambda x: x < v)))
+    fine = F.size(F.filter(F.slice("_bounds", F.col("_cell") * _WIDE + 1, _WIDE - 1), lambda x: x < v))
+    return at.withColumn("_piece", F.col("_cell") * _WIDE + fine).drop("_bounds", "_coarse", "_cell")
+
+
+def running(counts: DataFrame, value: str, sums: Sequence[str], groups: Sequence[str] = (), following: str | None = None) -> DataFrame:
+    """``counts`` (a row for each group and value) with ``<name>_upto`` for each of ``sums``: its total up to the value.
+
+    With ``following`` also the next value of the group.
+    """
+    parted = _parted(counts, value)
+    own = [*groups, "_piece"]
+    w = Window.partitionBy(*own).orderBy(value)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    inner = parted.withColumns({f"_{s}": F.sum(s).over(upto) for s in sums} | ({"_after": F.lead(value).over(w)} if following else {}))
+    totals = parted.groupBy(*own).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums], F.min(value).alias("_least"))
+    pieces = Window.partitionBy(*groups).orderBy("_piece") if groups else Window.partitionBy(F.lit(0)).orderBy("_piece")
+    before = pieces.rowsBetween(Window.unboundedPreceding, -1)
+    start = totals.select(*own, *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_s_{s}") for s in sums], F.lead("_least").over(pieces).alias("_next"))
+    out = inner.join(start if groups else F.broadcast(start), own)
+    more = [(F.col(f"_{s}") + F.col(f"_s_{s}")).alias(f"{s}_upto") for s in sums]
+    return out.select(*counts.columns, *more, *([F.coalesce("_after", "_next").alias(following)] if following else []))
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], points: Sequence[float]) -> DataFrame:
+    """One row with an array of exact quantiles (linear between neighbours) for each named column; null without values."""
+    rows = [F.struct(F.lit(n).alias("_name"), c.cast("double").alias("_v")) for n, c in columns.items()]
+    long = df.select(F.explode(F.array(*rows)).alias("_x")).select("_x.*").where("_v IS NOT NULL")
+    counts = long.groupBy("_name", "_v").agg(F.count("*").alias("_n"))
+    found = _picked(counts, ["_name"], points)
+    return found.agg(*[F.max(F.when(F.col("_name") == n, F.col("q"))).alias(n) for n in columns])
+
+
+def group_quantiles(df: DataFrame, groups: Sequence[str], column: Column, points: Sequence[float]) -> DataFrame:
+    """(groups, q): exact quantiles of a column in each group, however large."""
+    counts = df.select(*groups, column.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+    return _picked(counts, list(groups), points)
+
+
+def _picked(counts: DataFrame, groups: list[str], points: Sequence[float]) -> DataFrame:
+    """(groups, q) from counts by value: the two values around each quantile's place, and between them in proportion."""
+    sizes = counts.groupBy(*groups).agg((F.sum("_n") - 1).cast("double").alias("_last"))
+    r = running(counts, "_v", ["_n"], groups).join(sizes, groups)
+    first, end = F.col("_n_upto") - F.col("_n"), F.col("_n_upto")
+    aggregates, values = [], []
+    for i, p in enumerate(points):
+        place = F.col("_last") * F.lit(float(p))
+        low, high = F.floor(place), F.ceil(place)
+        aggregates += [F.max(F.when((first <= x) & (x < end), F.col("_v"))).alias(f"_{side}{i}") for side, x in (("a", low), ("b", high))]
+        values.append(F.when(low == high, F.col(f"_a{i}")).otherwise((high - place) * F.col(f"_a{i}") + (place - low) * F.col(f"_b{i}")))
+    return r.groupBy(*groups, "_last").agg(*aggregates).select(*groups, F.array(*values).alias("q"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ordered
 
 
 def melt(df: DataFrame, name: str, values: dict[str, dict[str, Column]]) -> DataFrame:
@@ -55,7 +56,7 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 
 def iqr_fence(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Quartiles, the upper fence and the rows above it."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = ordered.quantiles(df, {"q": F.col(column)}, (0.25, 0.75))
     q = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn("fence", F.round(F.col("q3") + k * (F.col("q3") - F.col("q1")), 2))
     return (
         df.select(column).crossJoin(F.broadcast(q)).groupBy("q1", "q3", "fence")

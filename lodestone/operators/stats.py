@@ -1,7 +1,7 @@
 """Distribution, rank and drift statistics.
 
-Order statistics over a whole column work on its distinct values with their counts, so a repeated value costs one row.
-Windows over all distinct values are the only global order that remains.
+Order statistics over a whole column work on its distinct values with their counts, so a repeated value costs one row,
+and on the pieces of their order (``ordered``), so no task sees all of them.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 _EPS = 1e-6
 
 
 def _edges(train: DataFrame, column: str, bins: int) -> DataFrame:
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return train.agg(F.percentile(F.col(column).cast("double"), points).alias("edges"))
+    return ordered.quantiles(train, {"edges": F.col(column)}, [i / bins for i in range(bins + 1)])
 
 
 def psi_quantile(train: DataFrame, other: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -60,11 +61,9 @@ def _steps(df: DataFrame, value: Column, flag: Column, groups: Sequence[str] = (
     """Cumulative counts of both samples at each distinct value, and both totals."""
     d = df.select(*groups, value.cast("double").alias("v"), flag.cast("boolean").alias("f")).where("v IS NOT NULL AND f IS NOT NULL")
     c = d.groupBy(*groups, "v").agg(F.count_if("f").alias("c1"), F.count_if(~F.col("f")).alias("c0"))
-    w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy("v")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     total = c.groupBy(*groups).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-    steps = c.withColumn("s1", F.sum("c1").over(run)).withColumn("s0", F.sum("c0").over(run)).withColumn("next", F.lead("v").over(w))
-    return steps.join(F.broadcast(total), list(groups)) if groups else steps.crossJoin(F.broadcast(total))
+    steps = ordered.running(c, "v", ["c1", "c0"], groups, following="next").withColumnsRenamed({"c1_upto": "s1", "c0_upto": "s0"})
+    return steps.join(total, list(groups)) if groups else steps.crossJoin(F.broadcast(total))
 
 
 def kolmogorov(d: Column, n1: Column, n0: Column, terms: int = 40) -> Column:
@@ -85,16 +84,15 @@ def two_sample(df: DataFrame, value: str, flag: Column, groups: Sequence[str] =
 def average_rank(df: DataFrame, column: str, out: str, groups: Sequence[str] = ()) -> DataFrame:
     """``df`` with the average rank of the column (ties share their mean rank), from counts by value."""
     c = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("_c"))
-    w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(column)
-    below = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
-    return df.join(c.select(*groups, column, (below + (F.col("_c") + 1) / 2).alias(out)), [*groups, column])
+    below = F.col("_c_upto") - F.col("_c")
+    return df.join(ordered.running(c, column, ["_c"], groups).select(*groups, column, (below + (F.col("_c") + 1) / 2).alias(out)), [*groups, column])
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties counted half, and its reflection to 0.5 or more."""
     c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("c"), F.sum(F.col(label).cast("long")).alias("c1"))
-    below = F.sum("c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    r = c.select("c", "c1", (F.col("c1") * (below + (F.col("c") + 1) / 2)).alias("r")).agg(F.sum("r").alias("r"), F.sum("c1").alias("n1"), (F.sum("c") - F.sum("c1")).alias("n0"))
+    below = F.col("c_upto") - F.col("c")
+    r = ordered.running(c, score, ["c"]).select("c", "c1", (F.col("c1") * (below + (F.col("c") + 1) / 2)).alias("r")).agg(F.sum("r").alias("r"), F.sum("c1").alias("n1"), (F.sum("c") - F.sum("c1")).alias("n0"))
     area = F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0"))
     return r.select(area.alias("auc"), F.greatest(area, 1 - area).alias("auc_reflected"), "n1", "n0")
 
@@ -164,8 +162,8 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:
     v = F.col(column).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    r = df.agg(F.count(column).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("least"), q.alias("q"), F.max(v).alias("most"), F.round(F.skewness(v), 4).alias("skew"))
+    q = ordered.quantiles(df, {"q": v}, (0.01, 0.5, 0.99))
+    r = df.agg(F.count(column).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.skewness(v), 4).alias("skew")).crossJoin(F.broadcast(q))
     return r.select("n", "mean", "std", "skew", "least", *[F.round(F.col("q")[i], 4).alias(a) for i, a in enumerate(("p01", "p50", "p99"))], "most")
 
 

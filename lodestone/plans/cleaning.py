@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cast, text
-from ..operators import audit, clean, quality
+from ..operators import audit, clean, ordered, quality
 from ..operators.contracts import TableContract, violations
 from . import tables as t
 from .registry import query
@@ -255,7 +255,7 @@ def chk_row_reconciliation(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(count(CASE WHEN votes > b + 0.3 * (b - a) OR votes < a - 0.3 * (b - a) THEN 1 END) AS BIGINT) AS n_outliers, CAST(count(*) AS BIGINT) AS n FROM movies, q""")
 def chk_outliers(spark: SparkSession, d: str) -> DataFrame:
     m = t.movies(spark, d)
-    q = m.agg(F.percentile("votes", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = ordered.quantiles(m, {"q": F.col("votes")}, (0.25, 0.75))
     a, b = F.col("q")[0], F.col("q")[1]
     return m.crossJoin(F.broadcast(q)).agg(F.count_if((F.col("votes") > b + 0.3 * (b - a)) | (F.col("votes") < a - 0.3 * (b - a))).alias("n_outliers"), F.count("*").alias("n"))
 

@@ -1,14 +1,17 @@
 """Operators on small frames whose results are known by hand."""
 
-import unicodedata
+import hashlib
 import json
 import math
+import random
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import cast, text
-from lodestone.operators import audit, clean, features, impute, models, quality, relate, stats
+from lodestone.operators import audit, clean, features, impute, models, ordered, quality, relate, stats
 from lodestone.operators.contracts import TableContract, enforce, match, violations
 
 
@@ -151,3 +154,28 @@ def test_models_learn(spark):
     assert drop["a"] > 0.2 and abs(drop["b"]) < 0.1
     assert [r["value"] for r in models.predictions(models.probability(m, x), "k").limit(2).collect()] == ["False", "False"]
     assert models.grid(a=(1, 2), b=("x",)) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
+
+
+def test_running_sums_and_quantiles_over_many_pieces(spark):
+    rng = random.Random(1)
+    rows = [(g, float(int(rng.gauss(0, 400)))) for g in ("a", "b") for _ in range(3000)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    counts = df.where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("n"))
+    for r in ordered.running(counts, "v", ["n"], ["g"], following="next").collect():
+        own = sorted(v for g, v in rows if g == r["g"] and v is not None)
+        assert r["n_upto"] == sum(v <= r["v"] for v in own) and r["next"] == next((v for v in own if v > r["v"]), None)
+    points = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    for r in ordered.group_quantiles(df, ["g"], F.col("v"), points).collect():
+        want = np.quantile([v for g, v in rows if g == r["g"] and v is not None], points)
+        assert np.allclose(r["q"], want)
+    (r,) = ordered.quantiles(df, {"v": F.col("v"), "none": F.lit(None).cast("double")}, points).collect()
+    assert np.allclose(r["v"], np.quantile([v for _, v in rows if v is not None], points)) and r["none"] is None
+    assert ordered.quantiles(df.limit(0), {"v": F.col("v")}, points).collect()[0]["v"] is None
+
+
+def test_folds_are_round_robin_in_the_order_of_the_hash(spark):
+    rows = [(i, i % 3 if i % 7 else None) for i in range(500)]
+    got = {r["k"]: r["fold"] for r in features.stratified_folds(spark.createDataFrame(rows, "k long, y int"), "k", "y").collect()}
+    for label in (0, 1, 2, None):
+        own = sorted((hashlib.md5(str(k).encode()).hexdigest(), k) for k, y in rows if y == label)
+        assert [got[k] for _, k in own] == [(i + 1) % 5 for i in range(len(own))]
