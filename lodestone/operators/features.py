@@ -199,6 +199,25 @@ def centroid_similarity(weights: DataFrame, labelled: DataFrame, docs: DataFrame
     return out.select(key, F.round("sim_1", 6).alias("sim_1"), F.round("sim_0", 6).alias("sim_0"), F.round(F.col("sim_1") - F.col("sim_0"), 6).alias("margin"))
 
 
+def entity_index(entities: DataFrame, key: str, count: str, edges: DataFrame | None, entity: str) -> DataFrame:
+    """(key, entity): the distinct edges of each entity row, or, without any, one entity of its own where ``count`` > 0.
+
+    A synthetic entity occurs in one row only, so its out-of-fold rate is the global mean.
+    """
+    keys = entities.select(key, F.col(count).alias("_n"))
+    known = keys.sparkSession.createDataFrame([], f"`{key}` {entities.schema[key].dataType.simpleString()}, `{entity}` string") if edges is None else edges.select(key, F.col(entity).cast("string").alias(entity)).where(F.col(entity).isNotNull()).distinct()
+    both = keys.join(known, key, "left")
+    made = F.when(F.col(entity).isNotNull(), F.col(entity)).when(F.col("_n") > 0, F.concat(F.lit("synthetic_"), F.col(key).cast("string")))
+    return both.select(key, made.alias(entity)).where(F.col(entity).isNotNull())
+
+
+def reduced_set(status: DataFrame, least: int = 8, best: int = 15) -> DataFrame:
+    """The features to train again with: those kept, or the ``best`` by score if fewer than ``least`` are kept."""
+    kept = status.agg(F.count_if(F.col("status") == "keep").alias("_kept"))
+    ranked = status.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "feature")))  # a row per feature
+    return ranked.crossJoin(F.broadcast(kept)).where(F.when(F.col("_kept") >= least, F.col("status") == "keep").otherwise(F.col("_r") <= best)).select("feature")
+
+
 def goodness(stats: DataFrame) -> DataFrame:
     """Composite score and status of each feature from auc, mi, abs_spearman, psi and missing_rate.
 

@@ -155,5 +155,16 @@ def reconciliation(raw: DataFrame, clean: DataFrame, split: str, imputed: dict[s
     return out.select(split, "raw_rows", "clean_rows", (F.col("raw_rows") - F.col("clean_rows")).alias("dropped"), *[(F.col(f"raw_null_{n}") - F.col(f"clean_null_{n}")).alias(f"filled_{n}") for n in imputed])
 
 
+def cleaning_summary(raw: DataFrame, clean: DataFrame, raw_edges: DataFrame, clean_edges: DataFrame, key: str, member: str, text_col: str, canonical: Column, variant: str, capped: str, train: Column, tokens: Sequence[str] = (r"\N", "")) -> DataFrame:
+    """(metric, value): rows and edges before and after cleaning, tokens met, duplicates, variant groups, cap bounds."""
+    variants = raw.where(train).groupBy(canonical.alias("_c")).agg(F.count_distinct(variant).alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("variant_groups"))
+    caps = ordered.quantiles(clean.where(train), {"_q": F.col(capped)}, (0.01, 0.99)).select(F.round(F.col("_q")[0], 4).alias("cap_low"), F.round(F.col("_q")[1], 4).alias("cap_high"))
+    a = raw.agg(F.count("*").alias("raw_rows"), (F.count("*") - F.count_distinct(key)).alias("duplicate_keys"), F.count_if(F.trim(text_col).isin(list(tokens))).alias("missing_tokens"))
+    e = raw_edges.agg(F.count("*").alias("raw_edges"), F.count_if(F.trim(member).isin(list(tokens))).alias("unknown_members"))
+    one = a.crossJoin(clean.agg(F.count("*").alias("clean_rows"))).crossJoin(e).crossJoin(clean_edges.agg(F.count("*").alias("clean_edges"))).crossJoin(variants).crossJoin(caps)
+    one = one.withColumn("edges_removed", F.col("raw_edges") - F.col("clean_edges"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])).alias("x")).select("x.*")
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -193,3 +193,25 @@ def shift_table(df: DataFrame, column: str, imputed: Column, groups: Sequence[st
     r = r.withColumn("p", kolmogorov(F.col("ks"), F.col("n1"), F.col("n0")))  # before ks is rounded under its own name
     p = F.col("p")
     return r.select(*groups, F.col("n0").alias("n_observed"), F.col("n1").alias("n_imputed"), F.round("ks", 6).alias("ks"), F.round("w1", 4).alias("w1"), F.round(p, 6).alias("p_value"), F.when(p >= 0.05, "plausible").otherwise("suspicious").alias("status"))
+
+
+def distribution_shift(df: DataFrame, column: str, imputed: Column, least: int = 5) -> DataFrame:
+    """One row: observed against imputed values by KS, Wasserstein-1, stability index and moments, with a status.
+
+    Fewer than ``least`` imputed values are not judged: their measures are null and the status is no_imputed_rows.
+    """
+    v = F.col(column).cast("double")
+    d = df.select(v.alias("v"), imputed.alias("f")).where("v IS NOT NULL")
+    side = {"obs": ~F.col("f"), "imp": F.col("f")}
+    m = d.agg(
+        F.count_if(side["obs"]).alias("n_observed"), F.count_if(side["imp"]).alias("n_imputed"), F.round(F.try_divide(100.0 * F.count_if(side["imp"]), F.count("*")), 4).alias("imputed_pct"),
+        *[F.round(F.avg(F.when(c, F.col("v"))), 3).alias(f"{n}_mean") for n, c in side.items()], *[F.round(F.stddev_pop(F.when(c, F.col("v"))), 3).alias(f"{n}_std") for n, c in side.items()],
+    )
+    both = two_sample(d, "v", F.col("f")).select("ks", "w1").crossJoin(psi_quantile(d.where(side["obs"]), d.where(side["imp"]), "v"))
+    out = m.crossJoin(F.broadcast(both))
+    enough = F.col("n_imputed") >= least
+    judged = lambda c: F.when(enough, c)
+    return out.select(
+        F.lit(column).alias("column"), "n_observed", "n_imputed", "imputed_pct", judged(F.round("ks", 4)).alias("ks"), judged(F.round("w1", 4)).alias("wasserstein"), judged(F.col("psi")).alias("psi"),
+        "obs_mean", judged(F.col("imp_mean")).alias("imp_mean"), "obs_std", judged(F.col("imp_std")).alias("imp_std"), F.when(enough, shift_status(F.col("psi"))).otherwise("no_imputed_rows").alias("status"),
+    )

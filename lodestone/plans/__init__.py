@@ -1,3 +1,3 @@
 """Named queries over the given tables. Importing this package registers them all."""
 
-from . import audits, cleaning, enriching, featurework, learning  # noqa: F401
+from . import audits, cleaning, enriching, featurework, learning, roundtrips  # noqa: F401

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cast import STRICT_TOKENS, blank_tokens
@@ -143,8 +145,38 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    """One text column in the frame's order, as a single file for small results."""
-    df.coalesce(1).write.mode("overwrite").text(path)
+    """One text column in the frame's order: a sorted frame's ranges become part files whose names have that order."""
+    df.write.mode("overwrite").text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of part files in the order of their names, numbered from 1.
+
+    A file's lines are numbered by their place in it; the files' line counts, of which there are few, carry on.
+    """
+    rows = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    piece = Window.partitionBy("f", "b")
+    sizes = rows.groupBy("f", "b").agg(F.count("*").alias("n"))
+    first = sizes.select("f", "b", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return rows.withColumn("nth", F.row_number().over(piece.orderBy("i"))).join(first, ["f", "b"]).select((F.col("first") + F.col("nth")).alias("line"), "value")
+
+
+def with_order(df: DataFrame, name: str) -> DataFrame:
+    """``df``, as read from files, with a number that rises with the rows' place in them."""
+    return df.withColumn(name, F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for files that are written and read again: below the shared checkpoint folder that the session names.
+
+    Only where none is named and all tasks run on this machine is it a temporary folder.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lodestone-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
