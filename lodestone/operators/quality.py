@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import ordered
 
 
 def melt(df: DataFrame, name: str, values: dict[str, dict[str, Column]]) -> DataFrame:
@@ -56,7 +55,7 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 
 def iqr_fence(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Quartiles, the upper fence and the rows above it."""
-    q = ordered.quantiles(df, {"q": F.col(column)}, (0.25, 0.75))
+    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     q = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn("fence", F.round(F.col("q3") + k * (F.col("q3") - F.col("q1")), 2))
     return (
         df.select(column).crossJoin(F.broadcast(q)).groupBy("q1", "q3", "fence")
@@ -158,7 +157,7 @@ def reconciliation(raw: DataFrame, clean: DataFrame, split: str, imputed: dict[s
 def cleaning_summary(raw: DataFrame, clean: DataFrame, raw_edges: DataFrame, clean_edges: DataFrame, key: str, member: str, text_col: str, canonical: Column, variant: str, capped: str, train: Column, tokens: Sequence[str] = (r"\N", "")) -> DataFrame:
     """(metric, value): rows and edges before and after cleaning, tokens met, duplicates, variant groups, cap bounds."""
     variants = raw.where(train).groupBy(canonical.alias("_c")).agg(F.count_distinct(variant).alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("variant_groups"))
-    caps = ordered.quantiles(clean.where(train), {"_q": F.col(capped)}, (0.01, 0.99)).select(F.round(F.col("_q")[0], 4).alias("cap_low"), F.round(F.col("_q")[1], 4).alias("cap_high"))
+    caps = clean.where(train).agg(F.percentile(capped, F.array(F.lit(0.01), F.lit(0.99))).alias("_q")).select(F.round(F.col("_q")[0], 4).alias("cap_low"), F.round(F.col("_q")[1], 4).alias("cap_high"))
     a = raw.agg(F.count("*").alias("raw_rows"), (F.count("*") - F.count_distinct(key)).alias("duplicate_keys"), F.count_if(F.trim(text_col).isin(list(tokens))).alias("missing_tokens"))
     e = raw_edges.agg(F.count("*").alias("raw_edges"), F.count_if(F.trim(member).isin(list(tokens))).alias("unknown_members"))
     one = a.crossJoin(clean.agg(F.count("*").alias("clean_rows"))).crossJoin(e).crossJoin(clean_edges.agg(F.count("*").alias("clean_edges"))).crossJoin(variants).crossJoin(caps)

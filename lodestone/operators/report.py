@@ -20,6 +20,7 @@ class Report:
     """Findings as (table, column, check, metric, value); every reading is derived from them."""
 
     rows: list[tuple[str, str | None, str, str, str | None]] = field(default_factory=list)
+    figures: list[str] = field(default_factory=list)
 
     def add(self, table: str, column: str | None, check: str, **metrics: object) -> None:
         self.rows += [(table, column, check, m, None if v is None else str(v)) for m, v in metrics.items()]
@@ -33,6 +34,13 @@ class Report:
             d = r.asDict()
             self.add(table, d.pop(column, None), check, **d)
 
+    def add_bars(self, title: str, df: DataFrame, label: str, value: str, most: int = 100) -> None:
+        """A bar chart of a small aggregate, in the order of its labels, for the HTML page; over ``most`` bars are an error."""
+        rows = df.orderBy(label).select(label, value).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{title}: over {most} bars")
+        self.figures.append(bars(title, [(str(r[0]), float(r[1] or 0)) for r in rows]))
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, FIELDS)
 
@@ -50,7 +58,18 @@ class Report:
 
     def html(self, title: str) -> str:
         body = "".join(f"<h2>{html.escape(c)}</h2><ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in lines) + "</ul>" for c, lines in self.sections())
-        return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}"
+        return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}{''.join(self.figures)}"
+
+
+def bars(title: str, values: Sequence[tuple[str, float]]) -> str:
+    """Horizontal bars as SVG, which needs no plotting library; negative values have length 0."""
+    top, step, wide = 24, 20, 400
+    scale = wide / max([v for _, v in values if v > 0], default=1.0)
+    lines = [
+        f"<text x='150' y='{top + step * i + 14}' text-anchor='end'>{html.escape(k)}</text><rect x='160' y='{top + step * i + 3}' width='{max(0.0, v * scale):.1f}' height='14'/><text x='{165 + max(0.0, v * scale):.1f}' y='{top + step * i + 14}'>{v:g}</text>"
+        for i, (k, v) in enumerate(values)
+    ]
+    return f"<svg width='700' height='{top + step * len(values) + 8}' font-size='11' fill='#345'><text x='0' y='14'>{html.escape(title)}</text>{''.join(lines)}</svg>"
 
 
 def numeric(df: DataFrame) -> list[str]:

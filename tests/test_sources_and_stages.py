@@ -85,6 +85,20 @@ def test_audit_of_files(spark):
     assert r.frame(spark).where("table = 'customer' AND metric = 'rows'").first()["value"] == "150"
 
 
+def test_bars(spark):
+    r = report.Report()
+    r.add_bars("a < b", spark.createDataFrame([(2, 4), (1, None), (3, -1)], "x int, n int"), "x", "n")
+    page = r.html("t")
+    assert page.count("<rect") == 3 and "a &lt; b" in page and page.index(">1<") < page.index(">2<")
+    with pytest.raises(ValueError, match="bars"):
+        r.add_bars("many", spark.range(101).selectExpr("id", "id AS n"), "id", "n")
+
+
+def test_more_rows_than_a_report_holds_are_an_error(spark):
+    with pytest.raises(ValueError, match="too many"):
+        report.Report().add_frame("t", "c", spark.range(11), "id", most=10)
+
+
 def test_report_rows(spark):
     r = report.Report()
     r.add("t", "c", "nulls", n=3, pct=1.5)
