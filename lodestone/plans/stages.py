@@ -98,10 +98,7 @@ def reporting(spark: SparkSession, source: str, out: str) -> report.Report:
     r.add_frame("clean", "correlation shift", stats.correlation_shift(m.where("yr_missing = 0"), m, ("yr", "votes_log1p")), "none")
     for s in t.SPLITS[1:]:
         r.add_frame("clean", f"drift against {s}", stats.drift_table(m.where("split = 'train'"), m.where(F.col("split") == s), ("yr", "votes_log1p"), s))
-    r.add_bars("Rows by label", quality.label_balance(m, "y"), "y", "n")
-    r.add_bars("log1p of votes", stats.histogram(m, "votes_log1p", 0, 20, 20), "bin", "n")
     files.write_parquet(r.frame(spark), f"{out}/report")
-    files.write_lines(spark.createDataFrame([(r.html("Cleaning report"),)], "value string").coalesce(1), f"{out}/report_html")
     return r
 
 
